@@ -68,13 +68,16 @@ def hot_keys(df: DataFrame, key: str, floor: int = HOT_ROWS, most: int = HOT_KEY
     return counts.where(F.col("_rows") >= floor).orderBy(F.desc("_rows"), key).limit(most).select(key)
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, key: str, how: str = "left", hot: DataFrame | bool | None = None) -> DataFrame:
     """Joins ``df`` with ``table``, which has one row per ``key``, without sending a hot key to one task.
 
     Rows of hot keys (see :func:`hot_keys`) meet a broadcast of at most ``HOT_KEYS`` table rows where
     they are; all other rows take a shuffle join. ``how`` is inner, left, left_semi or left_anti.
-    Rows with a null key match nothing: they stay for left and left_anti.
+    Rows with a null key match nothing: they stay for left and left_anti. ``hot`` may be given where it is
+    known already; False says that no key is hot.
     """
+    if hot is False:
+        return df.join(table, key, how)
     hot = hot_keys(df, key) if hot is None else hot
     tagged = df.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
     few = table.join(F.broadcast(hot), key, "left_semi")
