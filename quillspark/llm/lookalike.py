@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -55,6 +56,10 @@ def _to_script() -> dict[str, dict[str, str]]:
 _TO = _to_script()
 
 
+_OTHER_SCRIPT = regex.compile(r"[\p{Script=Cyrillic}\p{Script=Greek}\p{Script=Armenian}]")
+
+
+@lru_cache(maxsize=100_000)
 def script_of(letter: str) -> str | None:
     return next((name for name, pattern in _SCRIPTS.items() if pattern.match(letter)), None)
 
@@ -90,6 +95,8 @@ def unmixed(text: str, whole: bool = False) -> str:
     ``WHOLE_WORD_MOST`` letters look like letters of that script (a Cyrillic T in 'naive T cells').
     A single Greek letter joined to a word by a hyphen stays a symbol.
     """
+    if _OTHER_SCRIPT.search(text) is None:
+        return text
     overall = _leading(_counts(text))
     if overall is None:
         return text
@@ -117,15 +124,21 @@ def unmixed(text: str, whole: bool = False) -> str:
     return _WORD.sub(one, text)
 
 
-def plain_form(text: str, whole: bool = False) -> str:
-    """The value as it looks in plain characters; see the module's description."""
+def visible_form(text: str) -> str:
+    """Composed letters, ordinary width, blanks and hyphens, nothing invisible; scripts are left as they are."""
     if text.isascii():
         return _SPACES.sub(" ", text) if any(c in text for c in "\t\n\r\v\f") else text
     out = _IGNORABLE.sub("", text)
     out = _SPACES.sub(" ", out)
     out = _HYPHENS.sub("-", out)
     out = _NARROW.sub(lambda m: unicodedata.normalize("NFKC", m.group()), out)
-    return unicodedata.normalize("NFC", unmixed(unicodedata.normalize("NFC", out), whole))
+    return unicodedata.normalize("NFC", out)
+
+
+def plain_form(text: str, whole: bool = False) -> str:
+    """The value as it looks in plain characters; see the module's description."""
+    out = visible_form(text)
+    return out if out.isascii() else unicodedata.normalize("NFC", unmixed(out, whole))
 
 
 def comparison_form(text: str, whole: bool = False) -> str:
