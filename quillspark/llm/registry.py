@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["survivor_queries", "name_queries", "lookalike_queries", "grouping_queries", "corpus_queries", "language_queries"]
+MODULES = ["survivor_queries", "name_queries", "lookalike_queries", "grouping_queries", "linkage_queries", "corpus_queries", "language_queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
