@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["integrity"]
+MODULES = ["integrity", "records", "fusion", "network"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
