@@ -120,7 +120,7 @@ def safe_stem(c: Column) -> Column:
 
 def list_cell(c: Column) -> Column:
     """A semicolon-separated cell as an array of trimmed non-empty texts."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def formula_safe(c: Column) -> Column:
@@ -135,4 +135,4 @@ def id_kind(c: Column) -> Column:
 
 def period_start(ts: Column, seconds: int | None = None) -> Column:
     """Start of the UTC day, or of the aligned bucket of ``seconds``."""
-    return F.date_trunc("day", ts) if seconds is None else F.timestamp_seconds(F.floor(F.unix_seconds(ts) / seconds) * seconds)
+    return F.date_trunc("day", ts) if seconds is None else F.timestamp_seconds(F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds) * seconds)

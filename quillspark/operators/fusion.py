@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark.functions.text import jaccard, strict_arxiv, title_key, tokens, venues_equivalent
 from quillspark.operators.components import connected_components
 from quillspark.operators.quality import primary_evidence
+from quillspark.session import cut
 
 # Kinds of venue that can't be the same publication as each other.
 BOOKS = ("book", "book-chapter", "book-set", "book_chapter", "book_set", "monograph")
@@ -21,7 +22,7 @@ ID_FIELDS = ("doi", "arxiv", "pmid", "url", "id")
 def match_features(papers: DataFrame) -> DataFrame:
     """The normalised fields that the match rules compare; one row per paper."""
     return papers.select(
-        "ord", F.lower("doi").alias("doi"), strict_arxiv(F.col("arxiv_id")).alias("arxiv"), F.trim("pmid").alias("pmid"), F.lower(F.regexp_replace("url", "/+$", "")).alias("url"), F.nullif("id", F.lit("")).alias("id"),
+        "ord", F.nullif(F.lower("doi"), F.lit("")).alias("doi"), strict_arxiv(F.col("arxiv_id")).alias("arxiv"), F.nullif(F.trim("pmid"), F.lit("")).alias("pmid"), F.nullif(F.lower(F.regexp_replace("url", "/+$", "")), F.lit("")).alias("url"), F.nullif("id", F.lit("")).alias("id"),
         title_key(F.col("title")).alias("title"), tokens(title_key(F.col("title"))).alias("words"), F.array_distinct(F.transform(F.coalesce("authors", F.array()), lambda a: title_key(a["name"]))).alias("names"), "year", F.lower(F.trim("venue_type")).alias("kind"),
     )
 
@@ -43,24 +44,20 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return F.pandas_udf(call, "double")(a, b)
 
 
-def title_candidates(features: DataFrame, share: float = GUARD) -> DataFrame:
-    """Pairs ``x, y`` (whole feature structs, x.ord < y.ord) of distinct title word sets with a Jaccard similarity of ``share`` or more.
+def similar_titles(titles: DataFrame, share: float = GUARD) -> DataFrame:
+    """Pairs ``t1, t2`` (t1 < t2) of distinct titles (columns title, words) with a Jaccard similarity of ``share`` or more.
 
     Prefix filtering: words are ordered by rarity over all titles; two sets that similar share one of the first
-    n - ceil(share*n) + 1 words of either, so no pair is lost, and common words make no block. Papers with equal word
-    sets are represented by their first one (their own pairs are linked by :func:`equal_titles`).
+    n - ceil(share*n) + 1 words of either, so no pair is lost, and common words make no block.
     """
-    firsts = features.where(F.size("words") > 0).groupBy("words").agg(F.min("ord").alias("ord"))
-    words = firsts.select("ord", F.explode("words").alias("w"))
+    words = titles.select("title", F.explode("words").alias("w"))
     ranks = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ordered = words.join(ranks, "w").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    ordered = words.join(ranks, "w").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
     n = F.size("ws")
-    heads = ordered.select("ord", n.alias("n"), F.explode(F.slice("ws", F.lit(1), (n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1).cast("int"))).alias("h")).select("ord", "n", F.col("h.w").alias("w"))
-    other = heads.select(F.col("ord").alias("ord2"), F.col("n").alias("n2"), "w")
-    pairs = heads.join(other, "w").where((F.col("ord") < F.col("ord2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * share - 1e-9)).select("ord", "ord2").distinct()
-    x = features.select(F.col("ord"), F.struct(*features.columns).alias("x"))
-    y = features.select(F.col("ord").alias("ord2"), F.struct(*features.columns).alias("y"))
-    return pairs.join(x, "ord").join(y, "ord2").select("x", "y").where(jaccard(F.col("x.words"), F.col("y.words")) >= share)
+    heads = ordered.select("title", n.alias("n"), F.transform("ws", lambda x: x["w"]).alias("set"), F.explode(F.slice("ws", F.lit(1), (n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1).cast("int"))).alias("h")).select("title", "n", "set", F.col("h.w").alias("w"))
+    other = heads.select(F.col("title").alias("t2"), F.col("n").alias("n2"), F.col("set").alias("set2"), "w")
+    pairs = heads.withColumnRenamed("title", "t1").join(other, "w").where((F.col("t1") < F.col("t2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * share - 1e-9))
+    return pairs.where(jaccard(F.col("set"), F.col("set2")) >= share).select("t1", "t2").distinct()
 
 
 def matches(x: str = "x", y: str = "y") -> Column:
@@ -84,22 +81,64 @@ def matches(x: str = "x", y: str = "y") -> Column:
     return (cross & (ratio >= SEQUENCE)) | (~conflict & (gap <= 1) & ~kinds & ((score >= FUZZY) | near))
 
 
+def _compatible(a: str, b: str) -> Column:
+    """Whether records of two states with nearly equal titles match: disjoint kinds of identifier, close years and kinds of
+    venue that go together; an arXiv id against a DOI settles it alone. Equal identifiers are linked elsewhere."""
+    c = lambda s, f: F.col(f"{s}.{f}")
+    has = lambda s, bit: c(s, "mask").bitwiseAND(bit) > 0
+    cross = (has(a, 2) & has(b, 1)) | (has(a, 1) & has(b, 2))
+    apart = c(a, "mask").bitwiseAND(c(b, "mask")) == 0
+    close = F.coalesce(F.abs(c(a, "year") - c(b, "year")) <= 1, F.lit(True))
+    kinds = ~F.concat(c(a, "kind"), c(b, "kind")).isin("bp", "pb")
+    return cross | (apart & close & kinds)
+
+
 def dedup_clusters(papers: DataFrame) -> DataFrame:
     """``ord, cluster`` (smallest ord) of every paper under the match rules, closed transitively.
 
-    Every paper comes out. Titles compare through :func:`title_candidates` at the guard similarity, so the cross-identifier
-    rule is applied among pairs of at least that similarity. Papers with the same identifiers, names, year, kind and words
-    as another are linked to it as an equal record.
+    Nearly equal titles match whatever their bylines, so their records are compared as states (title, kinds of identifier,
+    year, kind of venue): a handful a title, however many records it has, and records hang on their state like spokes. Only
+    titles that are similar without being nearly equal are compared record by record, after equal records were combined.
+    Identifiers link each record to the first one with the same value. Titles are compared from the guard similarity on, so the
+    cross-identifier rule holds among those. Null titles match by identifier only; every paper comes out.
     """
-    features = match_features(papers)
-    alike = features.withColumn("k", F.xxhash64(*[c for c in features.columns if c != "ord"])).select("ord", "k")
+    features = cut(match_features(papers).dropDuplicates(["ord"]))
+    given = lambda f, bit: F.when(F.col(f).isNotNull(), bit).otherwise(0)
+    kind = F.when(F.col("kind").isin(*BOOKS), "b").when(F.col("kind").isin(*PERIODICALS), "p").otherwise("")
+    stated = features.where("title IS NOT NULL").select("ord", "title", F.struct((given("doi", 1) + given("arxiv", 2) + given("pmid", 4)).alias("mask"), "year", kind.alias("kind")).alias("s"))
+    stated = stated.withColumn("node", F.xxhash64(F.lit("state"), "title", "s.mask", F.coalesce("s.year", F.lit(-(1 << 31))), "s.kind"))
+    states = cut(stated.select("title", "s", "node").distinct())
+    titles = features.where(F.size("words") > 0).groupBy("title").agg(F.first("words").alias("words"))
+    pairs = cut(similar_titles(titles).withColumn("ratio", sequence_ratio(F.col("t1"), F.col("t2"))))
+    near = pairs.where(F.col("ratio") >= SEQUENCE).select("t1", "t2")
+    left = states.select(F.col("title").alias("t1"), F.col("s").alias("x"), F.col("node").alias("a"))
+    right = states.select(F.col("title").alias("t2"), F.col("s").alias("y"), F.col("node").alias("b"))
+    same = left.join(right, F.col("t1") == F.col("t2")).where("a <= b")
+    links = cut(same.unionByName(near.join(left, "t1").join(right, "t2").select(*same.columns)).where(_compatible("x", "y")).select("a", "b").distinct())
+    spokes = stated.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
+    mark = lambda c: F.xxhash64(F.lit("paper"), c)
+
+    alike = features.withColumn("k", F.xxhash64(*[c for c in features.columns if c not in ("ord", "url", "id")]))
     firsts = alike.groupBy("k").agg(F.min("ord").alias("b"))
-    copies = alike.join(firsts, "k").where("ord <> b").select(F.col("ord").alias("a"), "b")
-    distinct = features.join(firsts.select(F.col("b").alias("ord")), "ord")
-    near = title_candidates(distinct).where(matches()).select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"))
-    edges = id_edges(features).unionByName(copies).unionByName(near)
+    one = features.join(firsts.select(F.col("b").alias("ord")), "ord")
+    far = pairs.where(F.col("ratio") < SEQUENCE).select("t1", "t2")
+    x = one.select(F.col("title").alias("t1"), F.struct(*one.columns).alias("x"))
+    y = one.select(F.col("title").alias("t2"), F.struct(*one.columns).alias("y"))
+    fuzzy = far.join(x, "t1").join(y, "t2").where(matches())
+    # A record equal to x in all compared fields matches whatever x matches; both sides hang on a node of their own.
+    twin = lambda s: F.xxhash64(F.lit("twin"), *[F.col(f"{s}.{c}") for c in one.columns if c not in ("ord", "url", "id")])
+    fuzzy_edges = cut(fuzzy.select(twin("x").alias("a"), twin("y").alias("b")).distinct())
+    twins = features.withColumn("t", F.xxhash64(F.lit("twin"), *[c for c in features.columns if c not in ("ord", "url", "id")]))
+    hung = twins.join(fuzzy_edges.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "t").select(mark("ord").alias("a"), F.col("t").alias("b"))
+    edges = (
+        id_edges(features).select(mark("a").alias("a"), mark("b").alias("b"))
+        .unionByName(links).unionByName(spokes.select(mark("ord").alias("a"), F.col("node").alias("b")))
+    )
+    edges = edges.unionByName(fuzzy_edges).unionByName(hung)
     found = connected_components(edges)
-    return papers.select("ord").join(found.withColumnRenamed("vertex", "ord"), "ord", "left").select("ord", F.coalesce("component", "ord").alias("cluster"))
+    placed = papers.select("ord").withColumn("vertex", mark("ord")).join(found, "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    least = placed.groupBy("component").agg(F.min("ord").alias("cluster"))
+    return placed.join(least, "component").select("ord", "cluster")
 
 
 def fuse(records: DataFrame, cluster: str) -> DataFrame:

@@ -38,6 +38,7 @@ def find_orphans(
     Targets are first reduced to one row a key. A key that holds a large part of all references is
     matched against a broadcast of at most ``HOT_KEYS`` target rows instead of being shuffled.
     """
+    refs = refs.drop("reason", "_key", "_hot")
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     if not keys:

@@ -32,9 +32,9 @@ def id_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of distinct title word sets with a Jaccard similarity of .75 or more, by prefix filtering."""
-    pairs = fusion.title_candidates(fusion.match_features(table(spark, d, "papers")))
-    return pairs.select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), F.round(fusion.jaccard(F.col("x.words"), F.col("y.words")), 9).alias("similarity"))
+    """Pairs of distinct titles with a Jaccard similarity of .75 or more, by prefix filtering."""
+    titles = fusion.match_features(table(spark, d, "papers")).where(F.size("words") > 0).groupBy("title").agg(F.first("words").alias("words"))
+    return fusion.similar_titles(titles)
 
 
 def dedup_full(spark: SparkSession, d: str) -> DataFrame:
@@ -141,8 +141,8 @@ ORACLES = {
     "id_components": f"""WITH RECURSIVE {_FEAT}, ids AS (SELECT ord, 'doi' AS f, doi AS v FROM feat UNION ALL SELECT ord, 'arxiv', arxiv FROM feat UNION ALL SELECT ord, 'pmid', pmid FROM feat UNION ALL SELECT ord, 'url', url FROM feat UNION ALL SELECT ord, 'id', id FROM feat),
         firsts AS (SELECT f, v, min(ord) AS b FROM ids WHERE v <> '' GROUP BY f, v HAVING count(*) > 1), l AS (SELECT DISTINCT ids.ord AS a, b FROM ids JOIN firsts USING (f, v)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
         reach AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS ord, min(b) AS component FROM reach GROUP BY a""",
-    "jaccard_pairs": f"""WITH {_FEAT}, o AS (SELECT words, min(ord) AS ord FROM feat WHERE len(words) > 0 GROUP BY words), j AS (SELECT a.ord AS a, b.ord AS b, len(list_intersect(a.words, b.words)) AS i, len(a.words) + len(b.words) AS s FROM o a JOIN o b ON a.ord < b.ord)
-        SELECT a, b, round(i / (s - i)::DOUBLE, 9) AS similarity FROM j WHERE i / (s - i)::DOUBLE >= 0.75""",
+    "jaccard_pairs": f"""WITH o AS (SELECT DISTINCT {_TITLE.format('title')} AS t FROM papers), w AS (SELECT t, list_distinct(list_filter(string_split(t, ' '), lambda x: x <> '')) AS ws FROM o WHERE t <> ''),
+        j AS (SELECT a.t AS t1, b.t AS t2, len(list_intersect(a.ws, b.ws)) AS i, len(a.ws) + len(b.ws) AS s FROM w a JOIN w b ON a.t < b.t) SELECT t1, t2 FROM j WHERE i / (s - i)::DOUBLE >= 0.75""",
     "authorship_table": f"WITH {_SHIP} SELECT * FROM ships",
     "coauthor_pairs": f"WITH {_SHIP} SELECT x.author AS a, y.author AS b, count(DISTINCT x.paper) AS papers, min(py.year) AS first_year, max(py.year) AS last_year FROM ships x JOIN ships y ON x.paper = y.paper AND x.author < y.author JOIN (SELECT paper, min(year) AS year FROM ships WHERE author[1] <> '~' GROUP BY paper) py ON py.paper = x.paper WHERE x.author[1] <> '~' AND y.author[1] <> '~' GROUP BY 1, 2",
     "author_papers": f"WITH {_SHIP} SELECT author, count(*) AS n_papers, min(year) AS first_year, max(year) AS last_year FROM ships WHERE author[1] <> '~' GROUP BY author",
