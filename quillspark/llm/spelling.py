@@ -63,7 +63,8 @@ def edit_distance(a: str, b: str, most: int = 3) -> int:
     """Optimal string alignment distance (a swap of neighbours is one edit), cut off above ``most``."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > most:
+    # An edit changes at most two members of the set of letters.
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
