@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Items in a block, about; the work and memory of a task are bounded by it.
 BLOCK_ITEMS = 20_000
+#: Kinds of container; one row each in ``capacities``.
+MOST_KINDS = 1_000
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,16 +94,20 @@ def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, block_it
     """``container, bin_id, <item>, piece, token_start, n_tokens`` for every item and each row of ``capacities``.
 
     ``items`` has a unique ``item`` and its size in tokens; a null, zero or negative size is an empty item, which
-    takes no room. ``capacities`` has ``container`` and ``capacity_tokens`` (small: one row a kind of container; rows
+    takes no room. ``capacities`` has ``container`` and ``capacity_tokens`` (one row a kind of container, at most ``MOST_KINDS``; rows
     with a null or non-positive capacity are left out). An item larger than the capacity comes out as several
     pieces, all but the last filling a container of their own; any other item is one whole piece. ``bin_id`` is unique
     within a container kind. Equal sizes are told apart by the hash of the item. Empty inputs give no rows.
     """
     sized = items.select(F.col(item).alias("_item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_size"))
-    kinds = capacities.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity"))
+    kinds = capacities.where("capacity_tokens > 0").select("container", F.col("capacity_tokens").cast("bigint").alias("capacity")).limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of container")
+    each = F.array(*[F.struct(F.lit(r["container"]).alias("container"), F.lit(r["capacity"]).cast("bigint").alias("capacity")) for r in kinds])
+    each = each if kinds else F.array().cast("array<struct<container:string,capacity:bigint>>")
     n_blocks = _blocks(items, block_items)
     placed = sized.withColumn("_at", F.xxhash64("_item")).withColumn("_block", F.pmod(F.shiftright("_at", 7), F.lit(n_blocks)))
-    pieces = placed.crossJoin(F.broadcast(kinds)).withColumn(
+    pieces = placed.withColumn("_kind", F.explode(each)).select("*", "_kind.container", "_kind.capacity").withColumn(
         "_p", F.explode(F.sequence(F.lit(0), F.greatest(F.expr("CAST((_size + capacity - 1) DIV capacity AS INT)") - 1, F.lit(0))))
     )
     pieces = pieces.select(
