@@ -145,12 +145,13 @@ class Model:
     weights: np.ndarray
     families: list[str]
     pairs: list[tuple[str, str]]
+    languages: frozenset[str]
 
     def __post_init__(self) -> None:
         self.known: dict[str, np.ndarray] = {}
 
     def __getstate__(self) -> dict:
-        return {"weights": self.weights, "families": self.families, "pairs": self.pairs, "known": {}}
+        return {"weights": self.weights, "families": self.families, "pairs": self.pairs, "languages": self.languages, "known": {}}
 
     def scores(self, sentence: str) -> np.ndarray:
         total = np.zeros(len(self.weights), dtype=np.float64)
@@ -173,7 +174,7 @@ class Model:
         order = np.argsort(-s[:k], kind="stable")
         family = self.families[order[0]]
         margin = s[order[0]] - s[order[1]] if k > 1 else 1.0
-        members = FAMILIES[family]
+        members = [m for m in FAMILIES[family] if m in self.languages]
         votes = {m: [0, 0.0] for m in members}
         for j, (a, b) in enumerate(self.pairs):
             if a in votes and b in votes:
@@ -225,7 +226,7 @@ def train(examples: list[tuple[str, str]], seed: int = 0) -> Model:
                 idx = np.flatnonzero((langs == a) | (langs == b))
                 parts.append(_svm([rows[j] for j in idx], np.where(langs[idx] == a, 1, -1).astype(np.float32)[:, None], seed=seed))
                 pairs.append((a, b))
-    return Model(np.vstack(parts).astype(np.float32), families, pairs)
+    return Model(np.vstack(parts).astype(np.float32), families, pairs, frozenset(present))
 
 
 def train_clean(examples: list[tuple[str, str]], least: int = 20) -> Model:
