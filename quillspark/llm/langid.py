@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Families of the languages told apart here.
 FAMILIES = {
@@ -188,31 +188,43 @@ class Model:
         return best, float(1 / (1 + np.exp(-3 * margin)))
 
 
-def _svm(rows: list[np.ndarray], y: np.ndarray, epochs: int = 4, reg: float = 1e-4, seed: int = 0) -> np.ndarray:
+Row = tuple[np.ndarray, np.ndarray]  # distinct features and how often each occurs
+
+
+def _svm(rows: list[Row], y: np.ndarray, epochs: int = 4, reg: float = 1e-4, seed: int = 0) -> np.ndarray:
     """Averaged stochastic subgradient descent on the hinge loss, one weight row for each column of ``y`` (+1, -1)."""
     rng = np.random.default_rng(seed)
     w = np.zeros((y.shape[1], DIMENSIONS), dtype=np.float32)
     mean = np.zeros_like(w)
-    t, scale = 0, 1.0
-    steps = epochs * len(rows)
+    t, steps = 0, epochs * len(rows)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             t += 1
             eta = 1.0 / (1.0 + 10.0 * reg * t)
-            ids = rows[i]
-            norm = 1.0 / np.sqrt(len(ids))
-            margin = y[i] * (w[:, ids].sum(axis=1) * norm)
+            ids, n = rows[i]
+            norm = 1.0 / np.sqrt(n.sum())
+            margin = y[i] * (w[:, ids] @ n) * norm
             hit = np.flatnonzero(margin < 1)
-            for m in hit:
-                np.add.at(w[m], ids, eta * norm * y[i, m])
-                np.add.at(mean[m], ids, eta * norm * y[i, m] * (steps - t + 1) / steps)
-    return mean * scale
+            if len(hit):
+                step = np.outer(eta * norm * y[i, hit], n)
+                w[hit[:, None], ids] += step
+                mean[hit[:, None], ids] += step * ((steps - t + 1) / steps)
+    return mean
 
 
 def train(examples: list[tuple[str, str]], seed: int = 0) -> Model:
     """A model from (sentence, language) pairs; languages without examples are never predicted."""
-    rows = [np.array([f for w in _words(s) for f in _features(w)], dtype=np.int64) for s, _ in examples]
-    kept = [i for i, r in enumerate(rows) if len(r)]
+    known: dict[str, list[int]] = {}
+    rows: list[Row] = []
+    for s, _ in examples:
+        found: list[int] = []
+        for w in _words(s):
+            if w not in known:
+                known[w] = _features(w)
+            found += known[w]
+        ids, n = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+        rows.append((ids, n.astype(np.float32)))
+    kept = [i for i, (ids, _) in enumerate(rows) if len(ids)]
     rows, langs = [rows[i] for i in kept], np.array([examples[i][1] for i in kept])
     present = set(langs.tolist())
     families = [f for f, ms in FAMILIES.items() if present & set(ms)]
@@ -248,12 +260,8 @@ def training_sample(documents: DataFrame, doc: str, text: str, lang: str, per_la
     small = labels.limit(10_000)
     rows = documents.select(doc, F.col(lang).alias("_label"), F.col(text).alias("_text")).where(F.length("_text") > 60)
     rows = rows.join(F.broadcast(small), "_label").select("_lang", F.xxhash64(F.lit(seed), doc).alias("_h"), F.substring("_text", 1, TRAIN_CHARS).alias("_text"))
-    tops = []
-    for g in LANGUAGES:
-        tops.append(rows.where(F.col("_lang") == g).orderBy("_h").limit(per_language))
-    sample = tops[0]
-    for t in tops[1:]:
-        sample = sample.unionByName(t)
+    # Spark keeps at most per_language rows of a language and partition before the shuffle (window group limit).
+    sample = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).where(F.col("_n") <= per_language).select("_lang", "_text", "_h").orderBy("_lang", "_h")
     out: list[tuple[str, str]] = []
     for r in sample.collect():
         out += [(s, r["_lang"]) for _, _, s in sentences(r["_text"])[:SENTENCES]]
