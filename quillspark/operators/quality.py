@@ -100,7 +100,8 @@ def record_confidence(now: datetime, columns: dict[str, str]) -> Column:
     days = F.floor((F.unix_micros(F.lit(now)) - F.unix_micros(p["collected_at"])) / F.lit(86_400_000_000))
     score = F.least(F.lit(1.0), p["confidence"] + F.when(F.coalesce(F.length(p["raw_data"]) > 0, F.lit(False)), 0.02).otherwise(0.0))
     score = F.least(F.lit(1.0), score + F.when(F.coalesce(days <= 30, F.lit(False)), 0.01).otherwise(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.7) * F.coalesce(score, F.lit(0.0)) + F.lit(0.3) * completeness(columns)))
+    score = F.when(p.isNotNull(), score).otherwise(0.0)  # least() skips nulls, so a record without evidence is set apart
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.7) * score + F.lit(0.3) * completeness(columns)))
 
 
 def composite_confidence(sources: Column) -> Column:
@@ -111,12 +112,12 @@ def composite_confidence(sources: Column) -> Column:
 
 
 def adjusted_confidence(conf: Column, now: datetime, doi: str, pdf: str, evidence: str) -> Column:
-    """+.05 with a DOI, +.03 with a PDF link, -.10 if no entry is newer than 730 days; always within 0..1."""
+    """+.05 with a DOI, +.03 with a PDF link, -.10 if no entry is newer than 730 days; within 0..1, null for a null ``conf``."""
     newest = F.array_max(F.transform(F.coalesce(F.col(evidence), F.array()), lambda e: e["collected_at"]))
     days = F.floor((F.unix_micros(F.lit(now)) - F.unix_micros(newest)) / F.lit(86_400_000_000))
     c = F.least(F.lit(1.0), conf + F.when(_given(F.col(doi)), DOI_BONUS).otherwise(0.0))
     c = F.least(F.lit(1.0), c + F.when(_given(F.col(pdf)), PDF_BONUS).otherwise(0.0))
-    return F.greatest(F.lit(0.0), c - F.when(days > STALE_DAYS, STALE_PENALTY).otherwise(0.0))
+    return F.when(conf.isNotNull(), F.greatest(F.lit(0.0), c - F.when(days > STALE_DAYS, STALE_PENALTY).otherwise(0.0)))
 
 
 def evidence_union(rows: DataFrame, key: str, order: str, evidence: str, best: bool = False, cap: int = EVIDENCE_CAP) -> DataFrame:

@@ -57,7 +57,7 @@ def papers_by_venue_year(spark: SparkSession, d: str) -> DataFrame:
 
 def author_name_match(spark: SparkSession, d: str) -> DataFrame:
     """Papers with a byline name that holds all tokens of the name asked for, in any order."""
-    return filters.query_papers(table(spark, d, "papers"), author="J. Maria").select("ord")
+    return filters.query_papers(table(spark, d, "papers"), author="Polulesku").select("ord")
 
 
 def authors_by_interest(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +167,7 @@ ORACLES = {
     "url_forms": f"SELECT ord, {_OK.format('url')} AS ok, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS stem, url || '?api_key=***&page=2' AS shown FROM papers WHERE url IS NOT NULL",
     "papers_by_keyword": "SELECT ord, year FROM papers WHERE year BETWEEN 2005 AND 2020 AND (coalesce(contains(lower(title), 'lattice'), false) OR coalesce(contains(lower(abstract), 'lattice'), false) OR len(list_filter(keywords, lambda w: contains(lower(w), 'lattice'))) > 0)",
     "papers_by_venue_year": "SELECT ord, venue FROM papers WHERE contains(lower(venue), 'journal') AND year = 2015",
-    "author_name_match": f"SELECT ord FROM papers WHERE len(list_filter(authors, lambda a: contains(lower(a.name), 'j. maria') OR list_has_all(string_split({_TITLE.format('a.name')}, ' '), ['j', 'maria']))) > 0",
+    "author_name_match": f"SELECT ord FROM papers WHERE len(list_filter(authors, lambda a: contains(lower(a.name), 'polulesku') OR list_has_all(string_split({_TITLE.format('a.name')}, ' '), ['polulesku']))) > 0",
     "authors_by_interest": "SELECT ord, id FROM authors WHERE contains(lower(affiliation), 'university of') AND len(list_filter(interests, lambda i: contains(lower(i), 'neural'))) > 0",
     "papers_keyset_page": "SELECT year, title, ord FROM papers WHERE year > 2010 OR (year = 2010 AND (title > 'M' OR (title = 'M' AND ord > 0))) ORDER BY year NULLS FIRST, title NULLS FIRST, ord LIMIT 200",
     "papers_offset_page": "SELECT ord, title FROM papers ORDER BY title NULLS FIRST, ord LIMIT 150 OFFSET 100",
@@ -184,7 +184,7 @@ ORACLES = {
     "valid_citations": f"SELECT * FROM (SELECT ord, CASE WHEN {_WORK.format('citing_id')} IS NULL THEN 'citing_id' WHEN {_WORK.format('cited_id')} IS NULL THEN 'cited_id' WHEN {_WORK.format('citing_id')} = {_WORK.format('cited_id')} THEN 'self_citation' END AS error FROM snapshot_citations) WHERE error IS NOT NULL",
     "completeness_scores": f"""WITH p AS (SELECT ord, {_FILLED} AS c, list_sort(list_transform({_EV}, lambda e, i: {{'a': -e.confidence, 'b': i, 'confidence': e.confidence, 'at': e.collected_at, 'raw': e.raw_data}}))[1] AS e FROM papers),
         q AS (SELECT ord, c, least(1.0::DOUBLE, e.confidence + CASE WHEN length(e.raw) > 0 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END) AS s, floor((epoch_us({_NOW}) - epoch_us(e.at)) / 86400000000.0::DOUBLE) AS days FROM p)
-        SELECT ord, round(c, 6) AS completeness, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.7::DOUBLE * coalesce(least(1.0::DOUBLE, s + CASE WHEN days <= 30 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END), 0.0::DOUBLE) + 0.3::DOUBLE * c)), 6) AS confidence FROM q""",
+        SELECT ord, round(c, 6) AS completeness, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.7::DOUBLE * (CASE WHEN days IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, s + CASE WHEN days <= 30 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END) END) + 0.3::DOUBLE * c)), 6) AS confidence FROM q""",
     "composite_confidence": f"""WITH p AS (SELECT ord, doi, pdf_url, evidence_list, list_distinct(list_transform({_EV}, lambda e: e.source)) AS src FROM papers),
         q AS (SELECT *, least(1.0::DOUBLE, list_max(list_transform(src, lambda s: {_BASE})) + 0.05::DOUBLE * (len(src) - 1)) AS base, floor((epoch_us({_NOW}) - epoch_us(list_max(list_transform(evidence_list, lambda e: e.collected_at)))) / 86400000000.0::DOUBLE) AS days FROM p WHERE len(src) > 0)
         SELECT ord, round(base, 6) AS base, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, least(1.0::DOUBLE, base + CASE WHEN {_GIVEN.format('doi')} THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END) + CASE WHEN {_GIVEN.format('pdf_url')} THEN 0.03::DOUBLE ELSE 0.0::DOUBLE END)

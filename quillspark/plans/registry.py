@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["integrity", "records", "fusion", "network", "flows"]
+MODULES = ["integrity", "records", "fusion", "network", "flows", "people"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import ids, text
-from quillspark.operators import changes, citing, edges, filters, fusion, graph, quality, quota, segments, upserts
+from quillspark.operators import changes, citing, edges, filters, fusion, graph, identity, quality, quota, segments, upserts
 from quillspark.operators.components import connected_components
 from quillspark.operators.orphans import find_orphans, orphan_report
 from quillspark.session import hash_uniform, lookup
@@ -205,10 +205,25 @@ def test_quality(spark):
     assert got[0][0] == ["title", "year", "doi", "citations", "evidence"] and got[1][0] == [] and got[2][0] == ["evidence.confidence"]
     c = df.select(quality.composite_confidence(F.transform(quality.valid_evidence("evidence_list"), lambda e: e["source"]))).collect()
     assert [x[0] for x in c] == [None, 0.95, None]
+    kinds = dict(df.dtypes)
+    conf = [r[0] for r in df.select(quality.record_confidence(now, kinds)).collect()]
+    assert conf[0] == pytest.approx(0.3 * 4 / 8) and conf[1] > 0.7 * 0.8  # no evidence counts as 0
     union = quality.evidence_union(spark.createDataFrame([paper(1, "p", conf=0.1), paper(2, "p", conf=0.9)], PAPER), "id", "ord", "evidence_list", best=True)
     assert [r["confidence"] for r in union.collect()] == [0.9]
 
 
+def test_identity(spark):
+    df = spark.createDataFrame([paper(1, names=["Ann Bee"], doi="10.1/x", conf=None), paper(2, names=["Bee, Ann", "Cy"], arxiv="arXiv:2501.00001v2", conf=0.97, abstract="a")], PAPER)
+    assert rows(identity.cross_validated(df)) == [(1, None), (2, 1.0)]
+    assert [r[0] for r in df.select(identity.open_location()).collect()] == [None, "https://arxiv.org/pdf/2501.00001"]
+    assert [r[0] for r in df.select(identity.locate_in_byline("authors", "ann bee")["position"]).collect()] == [1, 1]
+    authors = spark.createDataFrame([(1, "A00001", "Ann Bee", ["A. Bee"], 3, None), (2, "A00002", "Ann Cee", None, None, 5), (3, "A00003", "Ann Cee", None, 1, 5)], "ord bigint, id string, name string, aliases array<string>, h_index int, citations bigint")
+    assert [r["ord"] for r in identity.rank_candidates(spark.createDataFrame([("ann",), ("",), (None,)], "query string"), authors, 2).orderBy("rank").collect()] == [3, 2]
+    entries = spark.createDataFrame([(1, 1, "https://a.example/a00001", "x"), (1, 2, None, "ANN BEE"), (1, 3, None, "Ann Cee"), (1, 4, "A99999", None)], "ord int, position int, author_id string, name string")
+    assert rows(identity.confirmed_ids(entries, authors)) == [(1, 1, "A00001", "id"), (1, 2, "A00001", "name"), (1, 3, None, None), (1, 4, None, None)]
+    assert identity.watch_list(entries.select("name"), spark.createDataFrame([("Bee Ann",), ("",)], "name string")).count() == 1
+
+
 def test_enrichment_order(spark):
     chain = quality.Enrichment().register("b", 2, lambda d: d.withColumn("v", F.concat("v", F.lit("b")))).register("a", 1, lambda d: d.withColumn("v", F.concat("v", F.lit("a"))))
     assert chain(spark.createDataFrame([("",)], "v string")).collect()[0][0] == "ab"
