@@ -127,6 +127,28 @@ def test_survivors(spark):
     assert survivors(df.limit(0), fields, "evidence_list", AS_OF).count() == 0
 
 
+def test_p1_is_as_brute_force(spark):
+    """Every group of the smallest table, against plain loops that compare all texts of a group."""
+    from quillspark.llm.survivor_queries import p1_found
+
+    folder = "/root/testdata/sf0.001"
+    groups = {}
+    for r in spark.read.parquet(f"{folder}/papers.parquet").where("id IS NOT NULL").select("id", "ord", "abstract", "evidence_list").collect():
+        groups.setdefault(r["id"], []).append(r)
+    want = set()
+    for id, members in groups.items():
+        ended = [(r, b.casefold()) for r in members if r["abstract"] and abstracts.is_ended(b := abstracts.body_of(r["abstract"]))]
+        whole = [r for r, b in ended if not any(c != b and c.startswith(b.rstrip("\"'”’»)]"))  for _, c in ended if len(c) > len(b))]
+
+        def rank(r):
+            ok = [e for e in r["evidence_list"] if e["confidence"] is not None and 0 <= e["confidence"] <= 1 and e["collected_at"].timestamp() <= AS_OF.timestamp()]
+            return (max((e["confidence"] for e in ok), default=-1), max((e["collected_at"].timestamp() for e in ok), default=-1e18), -r["ord"])
+
+        if len(members) > 1 and whole:
+            want.add((id, max(whole, key=rank)["ord"]))
+    assert {tuple(r) for r in p1_found(spark, folder).collect()} == want
+
+
 def test_source_quality_finds_the_liar(spark):
     facts = [("f", ["a", "b", "c"], ["liar"], i) for i in range(200)] + [("f", ["liar"], ["a", "b", "c"], i) for i in range(200)]
     q = source_quality(spark.createDataFrame([(*f[:3],) for f in facts], "field string, pro array<string>, contra array<string>"))
