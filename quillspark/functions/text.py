@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -136,3 +137,17 @@ def id_kind(c: Column) -> Column:
 def period_start(ts: Column, seconds: int | None = None) -> Column:
     """Start of the UTC day, or of the aligned bucket of ``seconds``."""
     return F.date_trunc("day", ts) if seconds is None else F.timestamp_seconds(F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds) * seconds)
+
+
+def cache_key(*columns: Column) -> Column:
+    """SHA-256 of the columns as one JSON text, in the order given; nulls count as null."""
+    return F.sha2(F.to_json(F.array(*[F.coalesce(F.to_json(F.struct(c.alias("v"))), F.lit("null")) for c in columns])), 256)
+
+
+def year_range(text: str | None) -> tuple[int | None, int | None]:
+    """The bounds of a year argument: 'YYYY', 'YYYY-YYYY', or None for no bounds."""
+    if not text:
+        return None, None
+    if (m := re.fullmatch(r"\s*(\d{4})(?:\s*-\s*(\d{4}))?\s*", text)) is None or (m[2] and m[2] < m[1]):
+        raise ValueError(f"not a year or a range of years: {text}")
+    return int(m[1]), int(m[2] or m[1])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.functions.text import work_key
 from quillspark.operators import changes, citing, edges, graph
 from quillspark.operators.upserts import last_wins
-from quillspark.plans.fusion import _EDGES, _KEY, _P, _WORK
+from quillspark.plans.fusion import _EDGES, _KEY, _WORK
 from quillspark.plans.records import NOW, _NOW
 from quillspark.sources.tables import table
 

@@ -55,6 +55,15 @@ def test_orcid_and_urls(spark):
     assert one(spark, "10.1000/x", text.id_kind) == "doi"
 
 
+def test_keys_and_years(spark):
+    df = spark.createDataFrame([("a", 1), (None, 1), ("a", 1)], "x string, y int")
+    keys = [r[0] for r in df.select(text.cache_key(F.col("x"), F.col("y"))).collect()]
+    assert keys[0] == keys[2] != keys[1] and len(keys[0]) == 64
+    assert text.year_range("2001-2003") == (2001, 2003) and text.year_range("1999") == (1999, 1999) and text.year_range("") == (None, None)
+    with pytest.raises(ValueError):
+        text.year_range("2003-2001")
+
+
 def test_venues(spark):
     df = spark.createDataFrame([("Med Image Anal.", "Medical image analysis", True), ("Nature", "Science", False), ("", "", True), ("The A", "A", True)], "a string, b string, want boolean")
     assert all(r[0] == r[1] for r in df.select(text.venues_equivalent(F.col("a"), F.col("b")), "want").collect())
