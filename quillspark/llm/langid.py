@@ -302,11 +302,3 @@ def detect(documents: DataFrame, model: Model, doc: str = "doc_id", text: str =
     kind = documents.schema[doc].dataType.simpleString()
     rows = documents.select(doc, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     return rows.mapInPandas(run, f"{doc} {kind}, labelled array<string>, segments {SEGMENT}")
-
-
-def document_languages(detected: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """``<doc>, languages``: for each document its languages with sentences and confidence, most sentences first."""
-    per = detected.select(doc, F.explode("segments").alias("s")).groupBy(doc, F.col("s.lang").alias("lang")).agg(
-        F.sum("s.sentences").alias("sentences"), (F.sum(F.col("s.confidence") * F.col("s.sentences")) / F.sum("s.sentences")).alias("confidence")
-    )
-    return per
