@@ -60,6 +60,41 @@ def similar_titles(titles: DataFrame, share: float = GUARD) -> DataFrame:
     return pairs.where(jaccard(F.col("set"), F.col("set2")) >= share).select("t1", "t2").distinct()
 
 
+def crossing_titles(titles: DataFrame, share: float = SEQUENCE) -> DataFrame:
+    """Pairs ``t1, t2`` (t1 < t2) of distinct titles (columns title, arxiv, doi: whether a record of it bears one) with a
+    sequence ratio of ``share`` or more, one with an arXiv id and the other with a DOI; words in common are not needed.
+
+    Prefix filtering on character trigrams with their places: a ratio of r means at least M = r(n+m)/2 equal characters in
+    order, so n-M characters are dropped and m-M put in, and a dropped one destroys three trigrams, an inserted one two.
+    More trigrams than that in the order of rarity hold one that is kept, at a place shifted by no more than was dropped
+    or put in. The same count for bigrams bounds the bits of their maps that only one title has, and the edit distance the
+    ratio before it is computed. Below six characters only equal titles reach .92.
+    """
+    half, q = share / 2, 3
+    lost = lambda n, m, q=q: F.floor(q * F.col(n) + (q - 1) * F.col(m) - (2 * q - 1) * half * (F.col(n) + F.col(m)) + 1e-9)
+    least = half / (1 - half)
+    at = F.transform(F.sequence(F.lit(1), F.length("title") - q + 1), lambda i: F.struct(i.alias("i"), F.substring(F.col("title"), i, F.lit(q)).alias("g")))
+    grams = titles.where((F.col("arxiv") | F.col("doi")) & (F.length("title") >= 6)).select("title", "arxiv", "doi", F.explode(at).alias("e")).select("title", "arxiv", "doi", "e.i", "e.g")
+    meets = grams.groupBy("g").agg((F.sum(F.col("arxiv").cast("long")) * F.sum(F.col("doi").cast("long"))).alias("df"))
+    ordered = grams.join(meets, "g").groupBy("title", "arxiv", "doi").agg(F.array_sort(F.collect_list(F.struct("df", "g", "i"))).alias("gs"))
+    n = F.length("title")
+    heads = ordered.select(F.xxhash64("title").alias("t"), "arxiv", "doi", n.alias("n"), F.posexplode(F.slice("gs", F.lit(1), (F.floor(n * (q * (1 - least)) + 1e-9) + 1).cast("int"))).alias("r", "h"))
+    bits = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.pmod(F.xxhash64(F.substring(F.col("title"), i, F.lit(2))), F.lit(256)))
+    word = lambda k: F.aggregate("bits", F.lit(0).cast("long"), lambda a, b: F.when(F.floor(b / 64) == k, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int")))).otherwise(a))
+    maps = ordered.select(F.xxhash64("title").alias("t"), bits.alias("bits")).select("t", F.struct(*[word(k).alias(f"w{k}") for k in range(4)]).alias("map"))
+    heads = cut(heads.where("h.df > 0").select("t", "arxiv", "doi", "n", "r", "h.g", "h.i").join(maps, "t"))
+    x = heads.where("arxiv").select(F.col("t").alias("tx"), "n", "r", "i", "g", F.col("map").alias("u"))
+    y = heads.where("doi").select(F.col("t").alias("ty"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("i").alias("j"), "g", F.col("map").alias("v"))
+    only = lambda a, b: sum(F.bit_count(F.col(f"{a}.w{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.w{k}")))) for k in range(4))
+    longer = F.greatest("n", "m")
+    met = x.join(y, "g").where((F.col("tx") != F.col("ty")) & (F.least("n", "m") >= longer * least - 1e-9) & (F.abs(F.col("i") - F.col("j")) <= longer - half * (F.col("n") + F.col("m")) + 1e-9) & (F.col("r") <= lost("n", "m")) & (F.col("s") <= lost("m", "n")) & (only("u", "v") <= lost("n", "m", 2)) & (only("v", "u") <= lost("m", "n", 2)))
+    text = titles.select(F.xxhash64("title").alias("t"), "title")
+    pairs = met.select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b")).distinct().join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
+    pairs = pairs.select(F.least("ta", "tb").alias("t1"), F.greatest("ta", "tb").alias("t2"))
+    close = F.levenshtein("t1", "t2") <= F.floor((1 - share) * (F.length("t1") + F.length("t2")) + 1e-9)
+    return cut(pairs.where(close)).where(sequence_ratio(F.col("t1"), F.col("t2")) >= share)
+
+
 def matches(x: str = "x", y: str = "y") -> Column:
     """The title rules for a pair without a shared identifier: no conflicting identifiers, years or kinds of venue, and
     either nearly equal titles or a weighted score of title, names and year of .85 or more. An arXiv-only and a
@@ -81,16 +116,20 @@ def matches(x: str = "x", y: str = "y") -> Column:
     return (cross & (ratio >= SEQUENCE)) | (~conflict & (gap <= 1) & ~kinds & ((score >= FUZZY) | near))
 
 
+def _crossing(a: str, b: str) -> Column:
+    """Whether one of two states has an arXiv id and the other a DOI."""
+    has = lambda s, bit: F.col(f"{s}.mask").bitwiseAND(bit) > 0
+    return (has(a, 2) & has(b, 1)) | (has(a, 1) & has(b, 2))
+
+
 def _compatible(a: str, b: str) -> Column:
     """Whether records of two states with nearly equal titles match: disjoint kinds of identifier, close years and kinds of
     venue that go together; an arXiv id against a DOI settles it alone. Equal identifiers are linked elsewhere."""
     c = lambda s, f: F.col(f"{s}.{f}")
-    has = lambda s, bit: c(s, "mask").bitwiseAND(bit) > 0
-    cross = (has(a, 2) & has(b, 1)) | (has(a, 1) & has(b, 2))
     apart = c(a, "mask").bitwiseAND(c(b, "mask")) == 0
     close = F.coalesce(F.abs(c(a, "year") - c(b, "year")) <= 1, F.lit(True))
     kinds = ~F.concat(c(a, "kind"), c(b, "kind")).isin("bp", "pb")
-    return cross | (apart & close & kinds)
+    return _crossing(a, b) | (apart & close & kinds)
 
 
 def dedup_clusters(papers: DataFrame) -> DataFrame:
@@ -99,8 +138,8 @@ def dedup_clusters(papers: DataFrame) -> DataFrame:
     Nearly equal titles match whatever their bylines, so their records are compared as states (title, kinds of identifier,
     year, kind of venue): a handful a title, however many records it has, and records hang on their state like spokes. Only
     titles that are similar without being nearly equal are compared record by record, after equal records were combined.
-    Identifiers link each record to the first one with the same value. Titles are compared from the guard similarity on, so the
-    cross-identifier rule holds among those. Null titles match by identifier only; every paper comes out.
+    Identifiers link each record to the first one with the same value. Titles are compared from the guard similarity on, and
+    those of an arXiv id against a DOI from the sequence ratio alone. Null titles match by identifier only; every paper comes out.
     """
     features = cut(match_features(papers).dropDuplicates(["ord"]))
     given = lambda f, bit: F.when(F.col(f).isNotNull(), bit).otherwise(0)
@@ -114,7 +153,11 @@ def dedup_clusters(papers: DataFrame) -> DataFrame:
     left = states.select(F.col("title").alias("t1"), F.col("s").alias("x"), F.col("node").alias("a"))
     right = states.select(F.col("title").alias("t2"), F.col("s").alias("y"), F.col("node").alias("b"))
     same = left.join(right, F.col("t1") == F.col("t2")).where("a <= b")
-    links = cut(same.unionByName(near.join(left, "t1").join(right, "t2").select(*same.columns)).where(_compatible("x", "y")).select("a", "b").distinct())
+    bears = lambda bit, name: F.max(F.col("s.mask").bitwiseAND(bit) > 0).alias(name)
+    crossing = crossing_titles(states.groupBy("title").agg(bears(2, "arxiv"), bears(1, "doi")))
+    crossed = crossing.join(left, "t1").join(right, "t2").where(_crossing("x", "y"))
+    links = same.unionByName(near.join(left, "t1").join(right, "t2").select(*same.columns)).where(_compatible("x", "y")).select("a", "b")
+    links = cut(links.unionByName(crossed.select("a", "b")).distinct())
     spokes = stated.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node")
     mark = lambda c: F.xxhash64(F.lit("paper"), c)
 

@@ -207,6 +207,39 @@ def test_dedup_is_as_brute_force(spark):
     assert dict(rows(fusion.dedup_clusters(df))) == {i: find(i) for i in parent}
 
 
+def test_arxiv_against_doi_needs_no_words_in_common(spark):
+    title, typed = "bioinformatics sequencing pipelines", "bioinformatlcs sequencing pipelines"
+    df = spark.createDataFrame([
+        paper(1, title=title, arxiv="2501.00001", year=1990), paper(2, title=typed, doi="10.1/a", year=2020), paper(3, title=typed), paper(4, title=typed.replace("g p", "gp"), doi="10.1/b", arxiv="2501.00002"),
+        paper(5, title="abcdef", arxiv="2501.00003"), paper(6, title="abcdefg", doi="10.1/c"), paper(7, title="abcdexg", doi="10.1/d"),
+    ], PAPER)
+    # Record 3 bears no identifier: equal in title to 2, but thirty years of difference do not matter to 1 and 2 only.
+    assert dict(rows(fusion.dedup_clusters(df))) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 7: 7}
+    apart = spark.createDataFrame([paper(1, title=title), paper(2, title=typed, doi="10.1/a"), paper(3, title=typed[:-9] + "pipelinez", doi="10.1/b")], PAPER)
+    assert dict(rows(fusion.dedup_clusters(apart))) == {1: 1, 2: 2, 3: 3}
+
+
+def test_crossing_titles_are_as_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    titles = set()
+    for _ in range(25):
+        base = "".join(rng.choices("abcdeé ", k=rng.randint(4, 60)))
+        titles.add(base)
+        for _ in range(8):
+            cs = list(base)
+            for _ in range(rng.randint(0, max(1, len(cs) // 8))):
+                at = rng.randrange(len(cs))
+                cs[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a", "yz"])
+            titles.add("".join(cs))
+    data = [(t, rng.random() < 0.5, rng.random() < 0.5) for t in sorted(titles) if t]
+    want = {(a, b) for a, xa, da in data for b, xb, db in data if a < b and (xa and db or da and xb) and SequenceMatcher(None, a, b).ratio() >= 0.92}
+    got = [tuple(r) for r in fusion.crossing_titles(spark.createDataFrame(data, "title string, arxiv boolean, doi boolean")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
 def test_quality(spark):
     now = datetime(2025, 6, 30, tzinfo=timezone.utc)
     df = spark.createDataFrame([paper(1, title=" ", year=1700, doi="bad", citations=-1, conf=None), paper(2, names=["A"], doi="10.1234/x", url="https://a.example"), paper(3, conf=float("nan"))], PAPER)
