@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.functions.text import ascii_cjk_key, jaccard, tokens
+from quillspark.functions.text import ascii_cjk_key, content_hash, jaccard, tokens
 
 TRACKED = ("title", "year", "venue", "abstract", "doi", "url", "pdf_url", "citations")
 WEIGHTS = (0.35, 0.25, 0.15, 0.10, 0.075, 0.075)
@@ -27,12 +27,15 @@ def changed_fields(old: str, new: str, kinds: dict[str, str]) -> Column:
 def detect_changes(new: DataFrame, old: DataFrame) -> DataFrame:
     """``ord, change, old_ord, changed`` for each new record: new, updated or unchanged against the stored ones.
 
-    Records match by id, then DOI (case aside), then link; of several stored rows with a key the last counts. Keys are
-    reduced to one row before the joins. Rows without any key are new.
+    Records match by id, then DOI (case aside), then link, then, where both sides hold authors, by the content hash of
+    title, byline, year and venue (none without a title); of several stored rows with a key the last counts. Keys are
+    reduced to one row before the joins. Rows without any key are new. A stored record may match several new ones.
     """
     kinds = dict(old.dtypes)
     whole = F.struct("ord", *TRACKED)
     keys = {"id": lambda: F.nullif("id", F.lit("")), "doi": lambda: F.nullif(F.lower("doi"), F.lit("")), "url": lambda: F.nullif(F.lower(F.regexp_replace("url", "/+$", "")), F.lit(""))}
+    if "authors" in new.columns and "authors" in old.columns:
+        keys["hash"] = lambda: F.when(F.col("title").isNotNull(), content_hash(F.col("title"), F.transform("authors", lambda a: a["name"]), F.col("year"), F.col("venue")))
     rows = new.select("ord", whole.alias("n"), *[k().alias(f"_{name}") for name, k in keys.items()])
     for name, k in keys.items():
         side = old.select(k().alias(f"_{name}"), whole.alias("o")).where(f"_{name} IS NOT NULL").groupBy(f"_{name}").agg(F.max_by("o", F.col("o.ord")).alias(f"o_{name}"))

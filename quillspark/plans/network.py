@@ -132,7 +132,7 @@ def profile_join(spark: SparkSession, d: str) -> DataFrame:
 
 def detect_changes_keyed(spark: SparkSession, d: str) -> DataFrame:
     """Odd deliveries as a new collection against the even ones as stored."""
-    papers = table(spark, d, "papers").select("ord", "id", *changes.TRACKED)
+    papers = table(spark, d, "papers").select("ord", "id", "authors", *changes.TRACKED)
     return changes.detect_changes(papers.where("ord % 2 = 1"), papers.where("ord % 2 = 0"))
 
 

@@ -316,6 +316,12 @@ def test_changes(spark):
     assert rows(changes.detect_changes(new, old)) == [(2, "unchanged", 1, ""), (3, "updated", 1, "year,doi"), (4, "new", None, None)]
 
 
+def test_changes_by_content_hash(spark):
+    old = spark.createDataFrame([paper(1, "p", "T", ["A B"], citations=1), paper(2, "q", "T", ["A B"], citations=1), paper(3, None, None), paper(4, "r", "U", ["A B"])], PAPER)
+    new = spark.createDataFrame([paper(5, None, "T", ["A B"], citations=2), paper(6, "z", "T", ["A B"], doi="10.1/z", citations=1), paper(7, None, "T", ["C D"]), paper(8, None, None), paper(9, "p", "U", ["A B"])], PAPER)
+    assert rows(changes.detect_changes(new, old)) == [(5, "updated", 2, "citations"), (6, "updated", 2, "doi"), (7, "new", None, None), (8, "new", None, None), (9, "updated", 1, "title,citations")]
+
+
 def test_author_scores(spark):
     cols = "ord bigint, name string, affiliation string, interests array<string>, coauthors array<string>, active_years array<int>, venues array<string>, orcid string, semantic_scholar_id string, openalex_id string"
     df = spark.createDataFrame([(1, "Wei Zhang", "Univ X", ["a"], [], [2000, 2005], [], None, None, None), (2, "Wei Zhang", "Univ X", ["a"], [], [2000, 2005], [], None, "s", None), (3, "W. Zhang", None, [], [], None, [], "o1", None, None), (4, "Wei Zhang", None, [], [], None, [], "o2", None, None)], cols)
