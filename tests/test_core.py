@@ -384,6 +384,34 @@ def test_streams(spark, tmp_path):
     assert [(r["cited"], r["citing"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("W1", "W2")]
 
 
+def test_ingest_keeps_late_citations(spark, tmp_path):
+    from quillspark.streaming.ingest import citation_stream, ingest
+
+    schema, out, ck = "cited_id string, citing_id string, recorded_at timestamp", str(tmp_path / "out"), tmp_path / "ck"
+
+    def deliver(*data):
+        spark.createDataFrame(data, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+
+    def run():
+        q = ingest(citation_stream(spark, str(tmp_path / "in"), schema), out, str(ck))
+        assert q.awaitTermination(60)
+
+    def stored():
+        return sorted((r["cited"], r["citing"], r["recorded_at"].month) for r in spark.read.parquet(out).collect())
+
+    deliver(("W1", "W2", T2), ("W1", "W2", T1))
+    # A month behind the newest time, and a repeat of a stored pair.
+    deliver(("W3", "W4", T0), ("w1", "W2", T0))
+    want = [("W1", "W2", 2), ("W3", "W4", 1)]
+    assert stored() == want
+    # The second batch is run again, as after a crash before its commit.
+    for name in ("1", ".1.crc"):
+        (ck / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert stored() == want
+
+
 def test_entry_without_llm():
     import subprocess
     import sys
