@@ -348,3 +348,25 @@ def test_held_out_accuracy(spark):
             total += 1
             good += max((x := [m.predict(s)[0] for _, _, s in found]), key=x.count) == labels[0]
     assert total > 20 and good / total > 0.7  # about a fifth of the labels are wrong
+
+
+def test_survivors_hold_all_fields(spark, tmp_path):
+    from quillspark.llm.survivor_queries import p1_survivors
+
+    entry = "struct<source:string,source_id:string,source_url:string,collected_at:timestamp,confidence:double,raw_data:string>"
+    author = "struct<author_id:string,name:string,position:int,is_corresponding:boolean,affiliation:string>"
+    schema = f"ord bigint, id string, title string, authors array<{author}>, year int, venue string, venue_type string, publisher string, abstract string, doi string, arxiv_id string, pmid string, url string, pdf_url string, citations bigint, reference_count bigint, keywords array<string>, fields_of_study array<string>, evidence_list array<{entry}>, synthetic_confidence double"
+    t = AS_OF.replace(year=2024)
+
+    def row(ord, authors, url, citations, evidence):
+        return (ord, "p", "T", authors, 2020, None, None, None, None, None, None, None, url, None, citations, 7, [], [], evidence, 0.5)
+
+    e1, e2, low = ("a", "1", None, t, 0.9, None), ("b", "1", None, t, 0.8, None), ("a", "1", None, t, 0.2, None)
+    spark.createDataFrame([
+        row(1, [("A1", "Ann Bee", 1, None, None), (None, "Cy Dee", 2, None, None)], "https://x.example/a/", 5, [e1]),
+        row(2, [(None, "Ann Bee", 1, None, None), (None, "Cy Dee", 2, None, None)], "https://x.example/a", 5, [low, e2]),
+    ], schema).write.parquet(str(tmp_path / "papers.parquet"))
+    [got] = p1_survivors(spark, str(tmp_path)).collect()
+    assert (got["url"].rstrip("/"), got["citations"], got["reference_count"], got["synthetic_confidence"]) == ("https://x.example/a", "5", "7", "0.5")
+    assert [(a["author_id"], a["name"]) for a in got["authors"]] == [("A1", "Ann Bee"), (None, "Cy Dee")]
+    assert [(e["source"], e["confidence"]) for e in got["evidence_list"]] == [("a", 0.9), ("b", 0.8)]
