@@ -27,6 +27,30 @@ def nfc(c: Column) -> Column:
     return F.when(c.rlike(r"^[\x00-\x7F]*$"), c).otherwise(F.pandas_udf(call, "string")(c))
 
 
+def folded(c: Column) -> Column:
+    """Without accents; plain ASCII texts are passed through inside the JVM."""
+
+    def call(values: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(values)
+        forms = ["".join(x for x in unicodedata.normalize("NFKD", v) if not unicodedata.combining(x)) for v in distinct] + [None]
+        return pd.Series([forms[i] for i in codes], dtype=object)
+
+    call.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    plain = c.rlike(r"^[\x00-\x7F]*$")
+    return F.when(plain, c).otherwise(F.pandas_udf(call, "string")(F.when(~plain, c)))
+
+
+def nfc_all(c: Column) -> Column:
+    """NFC form of the texts of an array; arrays of plain ASCII texts are passed through inside the JVM."""
+
+    def call(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else [None if t is None else unicodedata.normalize("NFC", t) for t in v] for v in values], dtype=object)
+
+    call.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    other = F.exists(c, lambda t: ~t.rlike(r"^[\x00-\x7F]*$"))
+    return F.when(other, F.pandas_udf(call, "array<string>")(F.when(other, c))).otherwise(c)
+
+
 def title_key(c: Column) -> Column:
     """Lower case, without punctuation, with single blanks."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), NOT_WORD, " "), SPACE, " "))

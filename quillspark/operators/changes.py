@@ -7,13 +7,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.functions.text import ascii_cjk_key, content_hash, jaccard, tokens
+from quillspark.functions.text import ascii_cjk_key, content_hash, folded, jaccard, title_key, tokens
+from quillspark.session import block_join, cut, lookup
 
 TRACKED = ("title", "year", "venue", "abstract", "doi", "url", "pdf_url", "citations")
 WEIGHTS = (0.35, 0.25, 0.15, 0.10, 0.075, 0.075)
 SAME, AMBIGUOUS = 0.85, 0.60
-# Words that say nothing about which organisation is meant.
-GENERIC = ("and", "center", "centre", "college", "department", "dept", "faculty", "for", "institute", "lab", "laboratory", "of", "school", "the", "univ", "university")
+# Words that say nothing about which organisation is meant (alphabetical).
+GENERIC = ("and", "at", "center", "centre", "college", "department", "dept", "faculty", "institute", "institutes", "lab", "laboratory", "of", "research", "school", "the", "universities", "university")
 
 
 def changed_fields(old: str, new: str, kinds: dict[str, str]) -> Column:
@@ -107,18 +108,36 @@ def ids_linked(a: str = "a", b: str = "b") -> tuple[Column, Column]:
     return linked, conflict
 
 
+COMPARED = ("name", "affiliation", "interests", "coauthors", "active_years", "venues", "orcid", "semantic_scholar_id", "openalex_id")
+
+
+def author_key() -> Column:
+    """128 bits of hash of the fields that pairs of authors are compared in: rows with the same are one."""
+    each = [F.to_json(F.struct(*COMPARED))]
+    return F.struct(F.xxhash64(F.lit(1), *each).alias("h"), F.xxhash64(F.lit(2), *each).alias("g"))
+
+
 def author_pairs(authors: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` (structs, a.ord < b.ord) of authors with a common authority id or the same surname and given initial.
+    """Pairs ``a, b`` (structs, a.ord < b.ord) of authors with a common authority id, the same words in their names, or the same
+    surname and given initial, whichever word comes first; accents don't count.
 
-    Rows that say the same in all compared fields are paired through their first one only.
+    Rows that say the same in all compared fields are paired through their first one only (:func:`author_key` tells which those
+    are). Large blocks are split among tasks.
     """
-    fields = ["name", "affiliation", "interests", "coauthors", "active_years", "venues", "orcid", "semantic_scholar_id", "openalex_id"]
-    one = authors.groupBy(F.xxhash64(*fields).alias("_k")).agg(F.min_by(F.struct("ord", *fields), "ord").alias("a")).select("a")
-    key = ascii_cjk_key(F.col("a.name"))
-    blocks = F.array(F.concat(F.lit("n:"), F.element_at(F.split(key, " "), -1), F.lit("|"), F.substring(key, 1, 1)), *[F.concat(F.lit(f"{i}:"), F.col(f"a.{i}")) for i in ("orcid", "semantic_scholar_id", "openalex_id")])
-    keyed = one.select("a", F.explode(F.array_compact(blocks)).alias("_b"))
-    pairs = keyed.join(keyed.select(F.col("a").alias("b"), "_b"), "_b").where("a.ord < b.ord")
-    return pairs.select("a", "b").dropDuplicates(["a", "b"])
+    one = authors.groupBy(author_key().alias("_k")).agg(F.min_by(F.struct("ord", *COMPARED), "ord").alias("a")).select("a")
+    words = F.filter(F.split(title_key(folded(F.coalesce("a.name", F.lit("")))), " "), lambda t: t != "")
+    keyed = one.withColumn("_w", words).withColumn("_n", F.size("_w"))
+    ends = F.when(F.col("_n") > 1, F.array(F.concat(F.lit("n:"), F.element_at("_w", -1), F.lit("|"), F.substring(F.element_at("_w", 1), 1, 1)), F.concat(F.lit("n:"), F.element_at("_w", 1), F.lit("|"), F.substring(F.element_at("_w", -1), 1, 1)))).otherwise(F.array().cast("array<string>"))
+    blocks = F.concat(ends, F.array(F.concat(F.lit("w:"), F.array_join(F.array_sort(F.array_distinct("_w")), " ")), *[F.concat(F.lit(f"{i}:"), F.col(f"a.{i}")) for i in ("orcid", "semantic_scholar_id", "openalex_id")]))
+    keys = cut(keyed.select(F.col("a.ord").alias("x"), F.explode(F.array_distinct(F.array_compact(blocks))).alias("_b")))
+    met = block_join(keys, keys.withColumnRenamed("x", "y"), "_b", "x").where("x < y").select("x", "y").distinct()
+    return met.join(one.select(F.col("a.ord").alias("x"), "a"), "x").join(one.select(F.col("a.ord").alias("y"), F.col("a").alias("b")), "y").select("a", "b")
+
+
+def author_members(authors: DataFrame) -> DataFrame:
+    """``ord, representative``: the first of the rows that agree in all compared fields, through which :func:`author_pairs` pairs a row."""
+    keyed = authors.select("ord", author_key().alias("k"))
+    return lookup(keyed, keyed.groupBy("k").agg(F.min("ord").alias("representative")), "k", "inner").select("ord", "representative")
 
 
 def author_scores(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.functions.ids import record_key
 from quillspark.functions.text import title_key, work_key
+from quillspark.session import lookup
 
 
 def authorships(papers: DataFrame) -> DataFrame:
@@ -37,9 +38,9 @@ def citation_edges(citations: DataFrame) -> DataFrame:
 def resolve_names(entries: DataFrame, authors: DataFrame) -> DataFrame:
     """Adds ``resolved``: the id of the author with the same name (case aside), else ``~<name>``; ids given stay.
 
-    A name that several authors have takes the smallest id. The author side has one row a name and is joined by hash.
+    A name that several authors have takes the smallest id. The author side has one row a name; frequent names are looked up where they are.
     """
     known = authors.where("name IS NOT NULL").groupBy(F.lower(F.trim("name")).alias("_n")).agg(F.min("id").alias("_id"))
     keyed = entries.withColumn("_n", F.lower(F.trim("name")))
     given = record_key(F.col("author_id"))
-    return keyed.join(known, "_n", "left").withColumn("resolved", F.coalesce(given, F.col("_id"), F.concat(F.lit("~"), F.col("_n")))).drop("_n", "_id")
+    return lookup(keyed, known, "_n").withColumn("resolved", F.coalesce(given, F.col("_id"), F.concat(F.lit("~"), F.col("_n")))).drop("_n", "_id")

@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.functions.text import title_key, tokens
+from quillspark.functions.text import nfc_all, title_key, tokens
 
 
 def name_matches(query: str, stored: Column) -> Column:
-    """Folded substring, or all tokens of the query among the stored name's tokens."""
-    key = title_key(F.lit(query))
-    wanted, have = tokens(key), tokens(title_key(stored))
-    return F.lower(stored).contains(query.lower()) | ((F.size(wanted) > 0) & (F.size(F.array_except(wanted, have)) == 0))
+    """Folded substring, or all tokens (of two characters or more) of the query among the stored name's tokens.
+
+    The query is brought to NFC here; stored names are expected in NFC (``functions.text.nfc`` and ``nfc_all``). An empty
+    query matches nothing.
+    """
+    asked = unicodedata.normalize("NFC", query).lower().strip()
+    longer = lambda key: F.filter(tokens(key), lambda t: F.length(t) > 1)
+    wanted, have = longer(title_key(F.lit(asked))), longer(title_key(stored))
+    return F.lit(asked != "") & (F.lower(stored).contains(asked) | ((F.size(wanted) > 0) & (F.size(F.array_except(wanted, have)) == 0)))
+
+
+def checked(text: str) -> str:
+    """A text to search for, folded; a NUL in it is refused."""
+    if "\x00" in text:
+        raise ValueError("a text to search for must not contain NUL")
+    return text.casefold()
 
 
 def query_papers(
@@ -23,7 +36,8 @@ def query_papers(
     """Papers for which all given conditions hold; None or an empty text is no condition. Nulls match no condition."""
     tests: list[Column] = []
     if author:
-        tests.append(F.exists("authors", lambda a: name_matches(author, a["name"])))
+        checked(author)
+        tests.append(F.exists(nfc_all(F.transform("authors", lambda a: a["name"])), lambda n: name_matches(author, n)))
     if year is not None:
         tests.append(F.col("year") == year)
     if year_from is not None:
@@ -31,9 +45,9 @@ def query_papers(
     if year_to is not None:
         tests.append(F.col("year") <= year_to)
     if venue:
-        tests.append(F.lower("venue").contains(venue.lower()))
+        tests.append(F.lower("venue").contains(checked(venue)))
     if keyword:
-        k = keyword.lower()
+        k = checked(keyword)
         tests.append(
             F.coalesce(F.lower("title").contains(k), F.lit(False)) | F.coalesce(F.lower("abstract").contains(k), F.lit(False)) | F.coalesce(F.exists("keywords", lambda w: F.lower(w).contains(k)), F.lit(False))
         )

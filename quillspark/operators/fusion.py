@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark.functions.text import jaccard, strict_arxiv, title_key, tokens, venues_equivalent
 from quillspark.operators.components import connected_components
 from quillspark.operators.quality import primary_evidence
-from quillspark.session import cut
+from quillspark.session import block_join, cut, lookup
 
-# Kinds of venue that can't be the same publication as each other.
-BOOKS = ("book", "book-chapter", "book-set", "book_chapter", "book_set", "monograph")
+# Kinds of venue that can't be the same publication as each other (alphabetical).
+BOOKS = ("book", "book-chapter", "book-set", "book_chapter", "book_set", "chapter", "edited-book", "edited_book", "monograph", "reference-book", "reference-entry", "reference_book", "reference_entry")
 PERIODICALS = ("article", "conference", "conference-paper", "conference-proceedings", "conference_paper", "conference_proceedings", "journal", "journal-article", "journal_article", "proceedings", "proceedings-article", "proceedings_article", "review")
 SEQUENCE, GUARD, FUZZY = 0.92, 0.75, 0.85
+RANKED = 20_000
 ID_FIELDS = ("doi", "arxiv", "pmid", "url", "id")
 
 
@@ -31,7 +32,8 @@ def id_edges(features: DataFrame) -> DataFrame:
     """Edges ``a, b`` (ord) from each paper to the first paper with the same identifier: a star for each value, not all pairs."""
     ids = features.select("ord", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in ID_FIELDS])).alias("i")).where("i.v IS NOT NULL AND i.v <> ''")
     firsts = ids.groupBy("i").agg(F.min("ord").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return ids.withColumn("k", F.xxhash64("i")).join(firsts.withColumn("k", F.xxhash64("i")).drop("i"), "k").select(F.col("ord").alias("a"), "b")
+    met = lookup(ids.withColumn("k", F.xxhash64("i")), firsts.withColumn("k", F.xxhash64("i")).withColumnRenamed("i", "same"), "k", "inner")
+    return met.where("i = same").select(F.col("ord").alias("a"), "b")
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:
@@ -51,12 +53,15 @@ def similar_titles(titles: DataFrame, share: float = GUARD) -> DataFrame:
     n - ceil(share*n) + 1 words of either, so no pair is lost, and common words make no block.
     """
     words = titles.select("title", F.explode("words").alias("w"))
-    ranks = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    ordered = words.join(ranks, "w").groupBy("title").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    # Words of more than one title in RANKED are ranked by a table of a few hundred thousand rows at most, which is broadcast;
+    # the others count as equally rare. Any order that is the same on both sides loses no pair.
+    floor = max(1, titles.count() // RANKED)
+    ranks = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > floor)
+    ordered = words.join(F.broadcast(ranks), "w", "left").groupBy("title").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(floor)).alias("df"), "w"))).alias("ws"))
     n = F.size("ws")
     heads = ordered.select("title", n.alias("n"), F.transform("ws", lambda x: x["w"]).alias("set"), F.explode(F.slice("ws", F.lit(1), (n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1).cast("int"))).alias("h")).select("title", "n", "set", F.col("h.w").alias("w"))
     other = heads.select(F.col("title").alias("t2"), F.col("n").alias("n2"), F.col("set").alias("set2"), "w")
-    pairs = heads.withColumnRenamed("title", "t1").join(other, "w").where((F.col("t1") < F.col("t2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * share - 1e-9))
+    pairs = block_join(heads.withColumnRenamed("title", "t1"), other, "w", "t1").where((F.col("t1") < F.col("t2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * share - 1e-9))
     return pairs.where(jaccard(F.col("set"), F.col("set2")) >= share).select("t1", "t2").distinct()
 
 

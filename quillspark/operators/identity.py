@@ -8,9 +8,10 @@ from quillspark.functions.ids import record_key
 from quillspark.functions.text import title_key, tokens, url_ok
 from quillspark.operators.filters import name_matches
 from quillspark.operators.quality import primary_evidence
+from quillspark.session import lookup
 
-# Hosts whose copies aren't legal open access.
-DENIED_HOSTS = ("libgen.is", "libgen.rs", "sci-hub.ru", "sci-hub.se", "sci-hub.st")
+# Hosts whose copies can't be told to be legal open access.
+DENIED_HOSTS = ("academia.edu", "researchgate.net", "www.academia.edu", "www.researchgate.net")
 
 
 def rank_candidates(queries: DataFrame, authors: DataFrame, n: int) -> DataFrame:
@@ -53,7 +54,7 @@ def confirmed_ids(entries: DataFrame, authors: DataFrame) -> DataFrame:
     by_id = authors.select(record_key(F.col("id")).alias("_id")).where("_id IS NOT NULL").distinct()
     by_name = authors.where("name IS NOT NULL").groupBy(F.lower(F.trim("name")).alias("_n")).agg(F.min(record_key(F.col("id"))).alias("_by"), F.countDistinct(record_key(F.col("id"))).alias("_c")).where("_c = 1")
     keyed = entries.withColumn("_key", record_key(F.col("author_id"))).withColumn("_n", F.lower(F.trim("name")))
-    rows = keyed.join(by_id.withColumn("_hit", F.lit(True)), keyed["_key"] == by_id["_id"], "left").join(by_name, "_n", "left")
+    rows = lookup(lookup(keyed, by_id.select(F.col("_id").alias("_key"), F.lit(True).alias("_hit")), "_key"), by_name, "_n")
     return rows.select("ord", "position", F.when(F.col("_hit"), F.col("_key")).otherwise(F.col("_by")).alias("resolved"), F.when(F.col("_hit"), "id").when(F.col("_by").isNotNull(), "name").alias("how"))
 
 
@@ -73,7 +74,7 @@ def fuse_authors(authors: DataFrame, cluster: str) -> DataFrame:
 
 def legal_url(c: Column) -> Column:
     """Whether a link is http(s) and its host isn't denied."""
-    host = F.lower(F.regexp_extract(c, r"^[a-zA-Z]+://(?:[^@/]*@)?(?:www\.)?([^/:?#]+)", 1))
+    host = F.lower(F.regexp_extract(c, r"^[a-zA-Z]+://(?:[^@/]*@)?([^/:?#]+)", 1))
     return url_ok(c) & ~host.isin(*DENIED_HOSTS)
 
 

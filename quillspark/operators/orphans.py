@@ -7,7 +7,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.session import hot_keys
+from quillspark.session import lookup
 
 MATCHES = ("simple", "full", "partial")
 
@@ -36,9 +36,9 @@ def find_orphans(
     give their own row; empty inputs give an empty result (with no targets every reference is missing).
 
     Targets are first reduced to one row a key. A key that holds a large part of all references is
-    matched against a broadcast of at most ``HOT_KEYS`` target rows instead of being shuffled.
+    matched against a broadcast of at most ``HOT_KEYS`` target rows where it is. Targets are joined once: the reason follows from the joined row.
     """
-    refs = refs.drop("reason", "_key", "_hot")
+    refs = refs.drop("reason", "_key", "_known", "_gone", "_first")
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     if not keys:
@@ -63,20 +63,10 @@ def _of_mask(rows: DataFrame, targets: DataFrame, keys: list[tuple[str, str]], d
         F.min((deleted if deleted is not None else F.lit(False)).cast("int")).alias("_gone"),
         (F.min(loaded) if loaded is not None else F.lit(None).cast("timestamp")).alias("_first"),
     )
-    rows = rows.withColumn("_key", _joined([r for r, _ in keys]))
-    hot = hot_keys(rows, "_key")
-    rows = rows.join(F.broadcast(hot.select(F.col("_key").alias("_hot"))), F.col("_key") == F.col("_hot"), "left")
+    rows = lookup(rows.withColumn("_key", _joined([r for r, _ in keys])), known.withColumn("_known", F.lit(True)), "_key")
     late = F.col("_first") > F.col(at) if at is not None and loaded is not None else F.lit(False)
-    reason = F.when(F.col("_gone") == 1, "deleted").when(late, "late")
-    parts = []
-    for part, known_part in (
-        (rows.where(F.col("_hot").isNotNull()), F.broadcast(known.join(F.broadcast(hot), "_key", "left_semi"))),
-        (rows.where(F.col("_hot").isNull()), known),
-    ):
-        parts.append(part.join(known_part, "_key", "left_anti").select(*names, F.lit("missing").alias("reason")))
-        if deleted is not None or loaded is not None:
-            parts.append(part.join(known_part, "_key").select(*names, reason.alias("reason")).where("reason IS NOT NULL"))
-    return reduce(DataFrame.unionByName, parts)
+    reason = F.when(F.col("_known").isNull(), "missing").when(F.col("_gone") == 1, "deleted").when(late, "late")
+    return rows.select(*names, reason.alias("reason")).where("reason IS NOT NULL")
 
 
 def _joined(cols: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillspark.functions.text import squeezed_blanks, url_ok
 
@@ -17,6 +17,10 @@ BASELINE = {
 DEFAULT_BASELINE = 0.50
 MULTI_SOURCE, DOI_BONUS, PDF_BONUS, STALE_PENALTY, STALE_DAYS = 0.05, 0.05, 0.03, 0.10, 730
 EVIDENCE_CAP = 500
+# The DOI prefix of polluted records, and the formats of DOIs and e-mail addresses.
+SUSPICIOUS_PREFIX = "10.65215"
+DOI_TEXT = r"^(?i)10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+$"
+EMAIL_TEXT = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 
 
 def _given(c: Column) -> Column:
@@ -30,7 +34,7 @@ def paper_errors(now: datetime) -> Column:
     tests = [
         ("title", ~_given(F.col("title"))),
         ("year", F.coalesce((year < 1800) | (year > now.year + 1), F.lit(False))),
-        ("doi", F.coalesce(_given(F.col("doi")) & ~F.col("doi").rlike(r"^(?i)10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+$"), F.lit(False))),
+        ("doi", F.coalesce(_given(F.col("doi")) & ~F.col("doi").rlike(DOI_TEXT), F.lit(False))),
         ("citations", F.coalesce(F.col("citations") < 0, F.lit(False))),
         ("evidence", F.coalesce(F.size("evidence_list"), F.lit(0)) <= 0),
         ("evidence.source_url", F.coalesce(F.exists("evidence_list", lambda e: ~_given(e["source_url"])), F.lit(False))),
@@ -47,7 +51,7 @@ def paper_warnings(now: datetime) -> Column:
         ("url", _given(F.col("url")) & ~url_ok(F.col("url"))),
         ("pdf_url", _given(F.col("pdf_url")) & ~url_ok(F.col("pdf_url"))),
         ("future_year", F.coalesce(F.col("year") > now.year, F.lit(False))),
-        ("doi_prefix", F.coalesce(F.lower("doi").startswith("10.0000/") | F.lower("doi").startswith("10.5555/"), F.lit(False))),
+        ("doi_prefix", F.coalesce(F.lower(F.trim("doi")).startswith(SUSPICIOUS_PREFIX), F.lit(False))),
     ]
     return F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))
 
@@ -55,7 +59,7 @@ def paper_warnings(now: datetime) -> Column:
 def author_errors() -> Column:
     tests = [
         ("name", ~_given(F.col("name"))),
-        ("email", F.coalesce(_given(F.col("email")) & ~F.col("email").rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"), F.lit(False))),
+        ("email", F.coalesce(_given(F.col("email")) & ~F.col("email").rlike(EMAIL_TEXT), F.lit(False))),
         ("h_index", F.coalesce(F.col("h_index") < 0, F.lit(False))),
         ("citations", F.coalesce(F.col("citations") < 0, F.lit(False))),
         ("evidence", F.coalesce(F.size("evidence_list"), F.lit(0)) <= 0),
@@ -132,12 +136,9 @@ def evidence_union(rows: DataFrame, key: str, order: str, evidence: str, best: b
     place = F.struct(F.col(order), F.col("at"))
     rank = F.struct(F.coalesce(-F.col("e.confidence"), F.lit(float("inf"))), F.col(order), F.col("at")) if best else place
     one = each.groupBy(key, F.col("e.source").alias("source"), F.col("e.source_id").alias("source_id")).agg(F.min_by(entry, rank).alias("x"))
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct(F.coalesce(-F.col("x.confidence"), F.lit(float("inf"))).alias("c"), F.col("x.o"), F.col("x.at"), "source", "source_id", F.col("x.confidence"), F.col("x.collected_at")))),
-        lambda e: e,
-    )
-    kept = one.groupBy(key).agg(F.slice(ordered, 1, cap).alias("es"))
-    return kept.select(key, F.posexplode("es").alias("rank", "e")).select(key, "e.source", "e.source_id", "e.confidence", "e.collected_at", (F.col("rank") + 1).alias("rank"))
+    # Spark keeps at most cap rows of a key in each task before the shuffle (window group limit).
+    w = Window.partitionBy(key).orderBy(F.coalesce(-F.col("x.confidence"), F.lit(float("inf"))), "x.o", "x.at", "source", "source_id")
+    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).select(key, "source", "source_id", "x.confidence", "x.collected_at", "rank")
 
 
 Strategy = Callable[[DataFrame], DataFrame]

@@ -7,7 +7,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 # How much larger a heading is set, and gaps that end a paragraph, in parts of the line height.
 HEADING_FACTOR, HEADING_DELTA, GAP_FACTOR, SPACING, TIGHT, FALLBACK_HEIGHT = 1.15, 0.5, 1.5, 1.2, 1.5, 12.0
 # Marks of a challenge page, in the order in which they are looked for.
-CHALLENGES = ("captcha", "cf-challenge", "just a moment", "access denied", "verify you are human")
+CHALLENGES = (
+    "cf-challenge", "__cf_chl_", "cf-browser-verification", "just a moment", "checking your browser", "verify you are human", "verify you're human", "verify your identity", "captcha",
+    "recaptcha", "hcaptcha", "access denied", "attention required", "request blocked", "unusual traffic", "you have been blocked", "enable javascript and cookies to continue",
+    "please enable javascript and cookies",
+)
+# Root containers of pages that a client renders, and the notice that they need it.
+ROOTS = ('<div id="app"', '<div id="root"', '<div id="__next"', '<div id="__nuxt"', '<div id="main-container"', '<div id="application"')
+NOTICE = r"(?s)<noscript[^>]*>.*?(enable javascript|javascript is required|please enable javascript|javascript must be enabled).*?</noscript>"
 
 
 def segment_lines(lines: DataFrame) -> DataFrame:
@@ -38,13 +45,15 @@ def segment_lines(lines: DataFrame) -> DataFrame:
     return body.withColumn("segment", F.row_number().over(Window.partitionBy("doc").orderBy("part"))).drop("part")
 
 
+def challenge_mark(page: Column) -> Column:
+    """The first of ``CHALLENGES`` in the first 64 KiB or the title of a page; null if there is none."""
+    sample = F.concat(F.lower(F.substring(page, 1, 65536)), F.lit("\n"), F.lower(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return F.coalesce(*[F.when(sample.contains(mark), mark) for mark in CHALLENGES])
+
+
 def page_status(status: Column, page: Column) -> Column:
-    """blocked (401, 403, 429 or a challenge mark in the first 64 KiB), failed (400 and above) or ok."""
-    head = F.lower(F.substring(page, 1, 65536))
-    challenged = F.lit(False)
-    for mark in CHALLENGES:
-        challenged = challenged | F.coalesce(head.contains(mark), F.lit(False))
-    return F.when(status.isin(401, 403, 429) | challenged, "blocked").when(status >= 400, "failed").otherwise("ok")
+    """blocked (401, 403, 429 or a challenge mark), failed (400 and above) or ok."""
+    return F.when(status.isin(401, 403, 429) | challenge_mark(page).isNotNull(), "blocked").when(status >= 400, "failed").otherwise("ok")
 
 
 def page_title(page: Column) -> Column:
@@ -59,9 +68,12 @@ def page_text(page: Column) -> Column:
 
 
 def needs_script(page: Column) -> Column:
-    """Whether a page seems to be rendered by the client: an app root and hardly any text."""
-    root = F.lower(page)
-    return F.coalesce((root.contains('id="root"') | root.contains('id="app"') | root.contains("enable javascript")) & (F.length(page_text(page)) < 200), F.lit(False))
+    """Whether a page seems to be rendered by the client: a root container and the notice, or hardly any text, in its first 20,000 characters."""
+    head = F.lower(F.substring(page, 1, 20000))
+    root = F.lit(False)
+    for mark in ROOTS:
+        root = root | head.contains(mark)
+    return F.coalesce(root & (head.rlike(NOTICE) | (F.length(F.trim(F.regexp_replace(head, r"<[^>]+>", " "))) < 200)), F.lit(False))
 
 
 def page_links(page: Column) -> Column:

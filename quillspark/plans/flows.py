@@ -42,7 +42,7 @@ def segment_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 def page_checks(spark: SparkSession, d: str) -> DataFrame:
     """Web pages among the documents: status, title and text, with the document wrapped as a page."""
-    page = F.concat(F.lit("<html><head><title> Page "), F.col("doc_id").cast("string"), F.lit(" </title></head><body>"), F.coalesce("text", F.lit("")), F.lit("</body></html>"))
+    page = F.concat(F.lit("<html><head><title> Page "), F.col("doc_id").cast("string"), F.lit(" </title></head><body>"), F.when(F.col("doc_id") % 7 == 0, '<div id="app"></div>').otherwise(""), F.coalesce("text", F.lit("")), F.lit("</body></html>"))
     status = F.when(F.col("doc_id") % 11 == 0, 403).when(F.col("doc_id") % 13 == 0, 500).otherwise(200)
     rows = table(spark, d, "documents").where("section = 'webpage'").select("doc_id", page.alias("page"), status.alias("status"))
     return rows.select("doc_id", segments.page_status(F.col("status"), F.col("page")).alias("status"), segments.page_title(F.col("page")).alias("title"), F.length(segments.page_text(F.col("page"))).alias("n_text"), segments.needs_script(F.col("page")).alias("needs_script"))
@@ -61,9 +61,9 @@ ORACLES = {
     "quota_buckets": "SELECT event_type AS source, CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS bucket, round(sum(coalesce(CAST(value AS DOUBLE), 0)), 4) AS used, count(*) AS n_events FROM events GROUP BY 1, 2",
     "quota_gate": "SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS INT) AS place FROM events QUALIFY place <= 20",
     "breaker_state": "WITH f AS (SELECT event_type, date_trunc('day', ts) AS b, min((ts, event_id)) AS f FROM events WHERE value > 150 GROUP BY 1, 2) SELECT event_id, e.event_type FROM events e JOIN f ON f.event_type = e.event_type AND f.b = date_trunc('day', ts) WHERE (ts, event_id) > f.f",
-    "page_checks": r"""WITH p AS (SELECT doc_id, '<html><head><title> Page ' || doc_id || ' </title></head><body>' || coalesce(text, '') || '</body></html>' AS page, CASE WHEN doc_id % 11 = 0 THEN 403 WHEN doc_id % 13 = 0 THEN 500 ELSE 200 END AS status FROM documents WHERE section = 'webpage'),
-        q AS (SELECT *, lower(substr(page, 1, 65536)) AS h, trim(regexp_replace(replace(replace(regexp_replace(page, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM p)
-        SELECT doc_id, CASE WHEN status IN (401, 403, 429) OR contains(h, 'captcha') OR contains(h, 'cf-challenge') OR contains(h, 'just a moment') OR contains(h, 'access denied') OR contains(h, 'verify you are human') THEN 'blocked' WHEN status >= 400 THEN 'failed' ELSE 'ok' END AS status,
-        'Page ' || doc_id AS title, length(t) AS n_text, (contains(lower(page), 'id="root"') OR contains(lower(page), 'id="app"') OR contains(lower(page), 'enable javascript')) AND length(t) < 200 AS needs_script FROM q""",
+    "page_checks": r"""WITH p AS (SELECT doc_id, '<html><head><title> Page ' || doc_id || ' </title></head><body>' || CASE WHEN doc_id % 7 = 0 THEN '<div id="app"></div>' ELSE '' END || coalesce(text, '') || '</body></html>' AS page, CASE WHEN doc_id % 11 = 0 THEN 403 WHEN doc_id % 13 = 0 THEN 500 ELSE 200 END AS status FROM documents WHERE section = 'webpage'),
+        q AS (SELECT *, lower(substr(page, 1, 65536)) AS h, lower(substr(page, 1, 20000)) AS k, trim(regexp_replace(replace(replace(regexp_replace(page, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM p)
+        SELECT doc_id, CASE WHEN status IN (401, 403, 429) OR regexp_matches(h, '(cf-challenge|__cf_chl_|cf-browser-verification|just a moment|checking your browser|verify you are human|verify you''re human|verify your identity|captcha|recaptcha|hcaptcha|access denied|attention required|request blocked|unusual traffic|you have been blocked|enable javascript and cookies to continue|please enable javascript and cookies)') THEN 'blocked' WHEN status >= 400 THEN 'failed' ELSE 'ok' END AS status,
+        'Page ' || doc_id AS title, length(t) AS n_text, regexp_matches(k, '<div id="(app|root|__next|__nuxt|main-container|application)"') AND length(trim(regexp_replace(k, '<[^>]+>', ' ', 'g'))) < 200 AS needs_script FROM q""",
     "payload_round_trip": "SELECT paperid AS id, title, year, nullif(venue, '') AS venue, citationcount AS citations, array_to_string(list_filter(list_transform(authors, lambda a: a.name), lambda x: x IS NOT NULL), '; ') AS names FROM s2_papers",
 }

@@ -84,7 +84,9 @@ def paper_upsert(spark: SparkSession, d: str) -> DataFrame:
 def citation_upsert(spark: SparkSession, d: str) -> DataFrame:
     """One row a citation pair: the first delivery's number is kept, the time is the latest delivery's."""
     rows = table(spark, d, "snapshot_citations").select("ord", work_key(F.col("citing_id")).alias("citing"), work_key(F.col("cited_id")).alias("cited"), F.unix_micros("recorded_at").alias("at")).where("citing IS NOT NULL AND cited IS NOT NULL")
-    half = F.lit(2) * F.col("ord") <= rows.agg(F.max("ord").alias("m")).collect()[0]["m"]
+    last = rows.agg(F.max("ord").alias("_m")).withColumn("_one", F.lit(1))
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").drop("_one")
+    half = F.lit(2) * F.col("ord") <= F.col("_m")
     first = rows.where(half).groupBy("citing", "cited").agg(F.min("ord").alias("ord"), F.max("at").alias("at"))
     later = rows.where(~half).groupBy("citing", "cited").agg(F.min("ord").alias("ord"), F.max("at").alias("at"))
     return upserts.upsert_keep(first, later, ["citing", "cited"], ["ord"])

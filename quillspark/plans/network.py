@@ -9,6 +9,7 @@ from quillspark.operators import changes, citing, edges, graph
 from quillspark.operators.upserts import last_wins
 from quillspark.plans.fusion import _EDGES, _KEY, _WORK
 from quillspark.plans.records import NOW, _NOW
+from quillspark.session import stored
 from quillspark.sources.tables import table
 
 DEPTH, BUDGET = 3, 50
@@ -16,35 +17,34 @@ DEPTH, BUDGET = 3, 50
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     e = edges.citation_edges(table(spark, d, "snapshot_citations"))
-    return e.select(F.col("citing").alias("source"), F.col("cited").alias("target"), F.lit("references").alias("relation"))
+    return stored(e.select(F.col("citing").alias("source"), F.col("cited").alias("target"), F.lit("references").alias("relation")))
 
 
-def _start(spark: SparkSession, d: str) -> DataFrame:
+def _start(e: DataFrame) -> DataFrame:
     """The work that cites most others (then the smallest id)."""
-    e = _edges(spark, d)
     return e.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(1).select(F.col("source").alias("node"))
 
 
 def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return graph.neighbours(_edges(spark, d), _start(spark, d))
+    return graph.neighbours(e := _edges(spark, d), _start(e))
 
 
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
-    return graph.bfs_levels(_edges(spark, d), _start(spark, d), DEPTH)
+    return graph.bfs_levels(e := _edges(spark, d), _start(e), DEPTH)
 
 
 def ego_subgraph(spark: SparkSession, d: str) -> DataFrame:
     """Edges among the nodes within two undirected hops of the start."""
-    return graph.ego_subgraph(_edges(spark, d), _start(spark, d), 2)[1]
+    return graph.ego_subgraph(e := _edges(spark, d), _start(e), 2)[1]
 
 
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    rows = graph.shortest_paths(_edges(spark, d), _start(spark, d), DEPTH)
+    rows = graph.shortest_paths(e := _edges(spark, d), _start(e), DEPTH)
     return rows.select("node", "length", F.array_join("path", ">").alias("path"))
 
 
 def expand_budgeted(spark: SparkSession, d: str) -> DataFrame:
-    return graph.expand_budgeted(_edges(spark, d), _start(spark, d), DEPTH, BUDGET)
+    return graph.expand_budgeted(e := _edges(spark, d), _start(e), DEPTH, BUDGET)
 
 
 def edge_upserts(spark: SparkSession, d: str) -> DataFrame:

@@ -63,8 +63,8 @@ QUERIES = {f.__name__: f for f in (resolve_search, resolve_entries, authorities,
 _TOK = "list_sort(list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> '')))"
 _ASK = ", ".join(f"('{n}')" for n in NAMES)
 _CONF = "list_max(list_transform(list_filter(coalesce(evidence_list, []), lambda e: e.confidence >= 0 AND e.confidence <= 1), lambda e: e.confidence))"
-_HOST = r"lower(regexp_extract({0}, '^[a-zA-Z]+://([^@/]*@)?(www\.)?([^/:?#]+)', 3))"
-_LEGAL = f"({_OK} AND {_HOST} NOT IN ({', '.join(repr(h) for h in identity.DENIED_HOSTS)}))"
+_HOST = r"lower(regexp_extract({0}, '^[a-zA-Z]+://([^@/]*@)?([^/:?#]+)', 2))"
+_LEGAL = f"({_OK} AND {_HOST} NOT IN ('academia.edu', 'researchgate.net', 'www.academia.edu', 'www.researchgate.net'))"
 _FIRST = ", ".join(f"arg_min({c}, (-conf, ord)) FILTER ({c} <> '') AS {c}" for c in ("name", "orcid", "affiliation", "email", "homepage"))
 ORACLES = {
     "resolve_search": f"""WITH q AS (SELECT query, {_TOK.format(_TITLE.format('query'))} AS q FROM (VALUES {_ASK}) v(query)), a AS (SELECT ord, citations, h_index, {_TOK.format(_TITLE.format('name'))} AS t FROM authors)

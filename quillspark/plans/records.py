@@ -177,7 +177,7 @@ ORACLES = {
         CASE WHEN coalesce(len(evidence_list), 0) = 0 THEN 'evidence' END, CASE WHEN len(list_filter(evidence_list, lambda e: NOT coalesce(length(trim(e.source_url)) > 0, false))) > 0 THEN 'evidence.source_url' END,
         CASE WHEN len(list_filter(evidence_list, lambda e: NOT coalesce(e.confidence >= 0 AND e.confidence <= 1, false))) > 0 THEN 'evidence.confidence' END''')} AS errors,
         {_JOIN.format(f'''CASE WHEN length(title) > 500 THEN 'title' END, CASE WHEN coalesce(len(authors), 0) = 0 THEN 'authors' END, CASE WHEN {_GIVEN.format('url')} AND NOT {_OK.format('url')} THEN 'url' END,
-        CASE WHEN {_GIVEN.format('pdf_url')} AND NOT {_OK.format('pdf_url')} THEN 'pdf_url' END, CASE WHEN year > 2025 THEN 'future_year' END, CASE WHEN lower(doi) LIKE '10.0000/%' OR lower(doi) LIKE '10.5555/%' THEN 'doi_prefix' END''')} AS warnings FROM papers)
+        CASE WHEN {_GIVEN.format('pdf_url')} AND NOT {_OK.format('pdf_url')} THEN 'pdf_url' END, CASE WHEN year > 2025 THEN 'future_year' END, CASE WHEN lower(trim(doi)) LIKE '10.65215%' THEN 'doi_prefix' END''')} AS warnings FROM papers)
         SELECT ord, errors, warnings, errors = '' AS valid FROM p""",
     "valid_authors": f"""WITH p AS (SELECT ord, {_JOIN.format(f'''CASE WHEN NOT {_GIVEN.format('name')} THEN 'name' END, CASE WHEN {_GIVEN.format('email')} AND NOT regexp_matches(email, '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}$') THEN 'email' END,
         CASE WHEN h_index < 0 THEN 'h_index' END, CASE WHEN citations < 0 THEN 'citations' END, CASE WHEN coalesce(len(evidence_list), 0) = 0 THEN 'evidence' END''')} AS errors FROM authors) SELECT ord, errors, errors = '' AS valid FROM p""",
