@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.ids import arxiv_key
 from quillspark.functions.text import squeezed_blanks, strict_doi, strict_pmid, work_key
+from quillspark.sources.articles import publisher_of
 
 OPENALEX_WORK = (
     "id string, title string, display_name string, publication_year int, doi string, cited_by_count bigint, authorships array<struct<author:struct<id:string,display_name:string>>>, "
@@ -57,7 +58,7 @@ def crossref_items(payloads: DataFrame, text: str) -> DataFrame:
     name = lambda a: F.coalesce(F.nullif(F.trim(F.concat_ws(" ", a["given"], a["family"])), F.lit("")), a["name"])
     return r.select(
         *[c for c in payloads.columns if c != text], strict_doi(F.col("_p.DOI")).alias("doi"), F.try_element_at(F.col("_p.title"), F.lit(1)).alias("title"), year.alias("year"), F.try_element_at(F.col("_p.`container-title`"), F.lit(1)).alias("venue"),
-        F.col("_p.publisher").alias("publisher"), F.transform("_p.author", name).alias("names"), F.transform("_p.author", lambda a: F.try_element_at(a["affiliation"], F.lit(1))["name"]).alias("affiliations"), F.col("_p.`is-referenced-by-count`").alias("citations"),
+        F.coalesce(F.nullif("_p.publisher", F.lit("")), publisher_of(F.col("_p.DOI"))).alias("publisher"), F.transform("_p.author", name).alias("names"), F.transform("_p.author", lambda a: F.try_element_at(a["affiliation"], F.lit(1))["name"]).alias("affiliations"), F.col("_p.`is-referenced-by-count`").alias("citations"),
     )
 
 

@@ -109,7 +109,7 @@ def cited_in_links(payloads: DataFrame, text: str) -> DataFrame:
     kinds = "linksets array<struct<ids:array<string>,linksetdbs:array<struct<linkname:string,links:array<string>>>>>"
     sets = payloads.select(*_rest(payloads, text), F.explode(F.from_json(text, kinds)["linksets"]).alias("_s"))
     dbs = sets.select("cited", F.explode("_s.linksetdbs").alias("_d"))
-    links = dbs.select("cited", strict_pmid(F.explode("_d.links")).alias("citing"))
+    links = dbs.select("cited", F.explode("_d.links").alias("_l")).select("cited", strict_pmid(F.col("_l")).alias("citing"))
     return links.where("citing IS NOT NULL AND citing <> cited").distinct()
 
 

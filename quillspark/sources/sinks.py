@@ -37,7 +37,7 @@ def read_csv(spark: SparkSession, path: str, required: list[str], lists: tuple[s
     if missing := [c for c in required if c not in rows.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     rows = rows.where(F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in rows.columns]).isNotNull())
-    return rows.withColumns({c: list_cell(F.col(c)) for c in lists}) if lists else rows
+    return rows.withColumns({c: F.coalesce(list_cell(F.col(c)), F.array().cast("array<string>")) for c in lists}) if lists else rows
 
 
 def work_lines(spark: SparkSession, path: str) -> DataFrame:
