@@ -15,6 +15,7 @@ no shuffle is needed; a value that fills a third of all rows is no hot spot.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -64,12 +65,19 @@ def script_of(letter: str) -> str | None:
     return next((name for name, pattern in _SCRIPTS.items() if pattern.match(letter)), None)
 
 
+@lru_cache(maxsize=100_000)
+def _letter(ch: str) -> tuple[str, int] | None:
+    """A letter's script and weight: 1 if it looks like another script's, else 3."""
+    name = script_of(ch)
+    return None if name is None else (name, 1 if any(ch in _TO[o] for o in _TO if o != name) else 3)
+
+
 def _counts(text: str) -> dict[str, int]:
     """How many letters each script surely has in ``text``: letters that look like another script's count least."""
     counts: dict[str, int] = {}
-    for ch in text:
-        if (name := script_of(ch)) is not None:
-            counts[name] = counts.get(name, 0) + (1 if any(ch in _TO[o] for o in _TO if o != name) else 3)
+    for ch, n in Counter(text).items():
+        if (got := _letter(ch)) is not None:
+            counts[got[0]] = counts.get(got[0], 0) + got[1] * n
     return counts
 
 

@@ -32,6 +32,8 @@ _SPLIT = regex.compile(r"[\p{L}\p{M}]+(?:[-'’][\p{L}\p{M}]+)*")
 
 def folded(text: str) -> str:
     """Lower case without accents, in plain letters."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFD", text.lower().translate(_BASE)) if not unicodedata.combining(c))
 
 
@@ -48,7 +50,29 @@ def name_tokens(name: str) -> list[str]:
             out += [folded(x) for x in w.split("-")]
         else:
             out.append(folded(w))
-    return [t for t in out if t]
+    return _signs_apart([t for t in out if t])
+
+
+_SIGN = regex.compile(r"\p{Script=Han}")
+# Family names of two signs.
+DOUBLE_NAMES = frozenset("欧阳 司马 上官 诸葛 东方 皇甫 尉迟 公孙 慕容 令狐".split())
+
+
+def _signs_apart(tokens: list[str]) -> list[str]:
+    """Names in signs, which are written together with the family name first, as given name and family name."""
+    out: list[str] = []
+    for t in tokens:
+        if 2 <= len(t) <= 4 and all(map(_SIGN.match, t)) and len(tokens) == 1:
+            k = 2 if len(t) > 2 and t[:2] in DOUBLE_NAMES else 1
+            out += [t[k:], t[:k]]
+        else:
+            out.append(t)
+    return out
+
+
+def whole(token: str) -> bool:
+    """Whether a token of a name is a name, not an initial."""
+    return len(token) > 1 or _SIGN.match(token) is not None
 
 
 def transliterated(token: str) -> str:
@@ -122,6 +146,13 @@ def collision(similarity: float, rows: int, bands: int) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
+def one_error(length: int) -> float:
+    """The least Jaccard similarity of the padded bigrams of a word of ``length`` letters and its form with one letter wrong, missing,
+    too many or swapped with the next (a swap in a word of three or fewer leaves too little and isn't counted)."""
+    wrong = (length - 1) / (length + 3)
+    return wrong if length <= 3 else min(wrong, (length - 2) / (length + 4))
+
+
 def tuned_banding(similarity: float, recall: float, low: float, most_bands: int = 64) -> tuple[int, int]:
     """Rows and bands that reach ``recall`` at ``similarity`` with the least chance of a collision at ``low``."""
     best: tuple[float, int, int] | None = None
