@@ -4,8 +4,8 @@ Groups are found by low-diameter decomposition. On each level every vertex draws
 exponential distribution (rate ``beta``); clusters grow from the vertices with the largest remaining head
 start, one hop a round, and stop where another cluster came first. Only about ``beta`` of the edges run
 between clusters. Clusters are then contracted to super-vertices, the edges between them are the input of
-the next level, and the assignments of all levels are composed. A cut-short growth only leaves more edges
-to later levels: a label never leaves its component, so the result is exact.
+the next level, and the assignments of all levels are composed. Growth goes on until no vertex hears of a better claim;
+a label never leaves its component, so the result is exact.
 
 Records aren't linked pair by pair but to the value they share, so a value shared by n records costs n
 edges, and records with the same values are one vertex from the start.
@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, functions as F
 from quillspark.session import HOT_ROWS, cut, hash_uniform, hot_keys, lookup
 
 BETA = 0.1
-GROWTH_ROUNDS = 4
+#: Hops of growth between two checkpoints.
+HOPS = 4
 MOST_LEVELS = 60
 
 
-def components(edges: DataFrame, beta: float = BETA, rounds: int = GROWTH_ROUNDS, seed: int = 7) -> DataFrame:
-    """``vertex, component`` for every vertex of ``edges`` (columns ``a``, ``b`` of type bigint).
+def components(edges: DataFrame, beta: float = BETA, hops: int = HOPS, seed: int = 7) -> DataFrame:
+    """``vertex, component`` for every vertex of ``edges`` (columns ``a``, ``b`` of one type that can be ordered).
 
     Self-loops, repeated edges and either direction are allowed; edges with a null end are ignored. The
     component's number is the vertex number of one of its members. No edges give no rows.
@@ -31,23 +32,28 @@ def components(edges: DataFrame, beta: float = BETA, rounds: int = GROWTH_ROUNDS
     both = edges.where("a IS NOT NULL AND b IS NOT NULL")
     vertices = both.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
     live = cut(_two_way(both))
-    steps: list[DataFrame] = []
+    steps: list[tuple[int, DataFrame]] = []
     for level in range(MOST_LEVELS):
         if not (n := live.count()):
             break
         # The edges run both ways, so the hot vertices are the same at either end.
         hot = cut(hot_keys(live, "a")) if n >= HOT_ROWS else None
         hot = None if hot is None or hot.isEmpty() else hot
-        grown = cut(_grow(live, hot, beta, rounds, seed + level))
-        steps.append(grown)
+        grown = cut(_grow(live, hot, beta, hops, seed + level))
+        steps.append((n, grown))
         live = cut(_contract(live, grown, hot))
     else:
         raise RuntimeError(f"edges remain after {MOST_LEVELS} levels")
-    out = vertices.withColumn("component", F.col("vertex"))
-    for grown in steps:
-        moved = grown.select(F.col("vertex").alias("component"), F.col("cluster").alias("_to"))
-        out = out.join(moved, "component", "left").select("vertex", F.coalesce("_to", "component").alias("component"))
-    return out
+    # Composed from the last level, the smallest, to the first. Everything in a giant component has one key by then.
+    placed: DataFrame | None = None
+    for n, grown in reversed(steps):
+        if placed is not None:
+            moved = placed.select(F.col("vertex").alias("cluster"), F.col("component").alias("_to"))
+            grown = lookup(grown, moved, "cluster", "left", None if n >= HOT_ROWS else False).select("vertex", F.coalesce("_to", "cluster").alias("cluster"))
+        placed = cut(grown.select("vertex", F.col("cluster").alias("component")))
+    if placed is None:
+        return vertices.withColumn("component", F.col("vertex"))
+    return vertices.join(placed, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
 
 
 def _two_way(edges: DataFrame) -> DataFrame:
@@ -58,19 +64,27 @@ def _named(hot: DataFrame | None, name: str) -> DataFrame | bool:
     return False if hot is None else hot.select(F.col("a").alias(name))
 
 
-def _grow(edges: DataFrame, hot: DataFrame | None, beta: float, rounds: int, seed: int) -> DataFrame:
-    """``vertex, cluster`` after ``rounds`` of growth from exponentially shifted starts."""
+def _grow(edges: DataFrame, hot: DataFrame | None, beta: float, hops: int, seed: int) -> DataFrame:
+    """``vertex, cluster`` after growth from exponentially shifted starts, until no vertex changes its cluster."""
     starts = edges.select(F.col("a").alias("vertex")).distinct()
     state = starts.select("vertex", (-F.log(hash_uniform("vertex", seed=seed)) / beta).alias("left"), F.col("vertex").alias("cluster"))
-    hops = edges.select(F.col("a").alias("vertex"), "b", F.lit(1.0).alias("cost")).unionByName(starts.select("vertex", F.col("vertex").alias("b"), F.lit(0.0).alias("cost")))
-    for _ in range(rounds):
+    hop = edges.select(F.col("a").alias("vertex"), "b", F.lit(1.0).alias("cost")).unionByName(starts.select("vertex", F.col("vertex").alias("b"), F.lit(0.0).alias("cost")))
+
+    def step(now: DataFrame) -> DataFrame:
         # The best claim each vertex hears of: its own, or a neighbour's with one hop less of head start.
-        heard = lookup(hops, state, "vertex", "inner", _named(hot, "vertex"))
+        heard = lookup(hop, now, "vertex", "inner", _named(hot, "vertex"))
         best = heard.groupBy("b").agg(F.max(F.struct((F.col("left") - F.col("cost")).alias("left"), "cluster")).alias("claim"))
-        state = best.select(F.col("b").alias("vertex"), "claim.left", "claim.cluster")
-        if hot is not None:  # each lookup with hot keys reads the state twice
-            state = cut(state)
-    return state.select("vertex", "cluster")
+        return best.select(F.col("b").alias("vertex"), "claim.left", "claim.cluster")
+
+    # A claim loses one a hop and the largest start is some ln(n) / beta, so a chain of that length is the most that can follow.
+    while True:
+        for _ in range(hops):
+            state = step(state)
+        state = cut(state)
+        after = cut(step(state))
+        if after.join(state.select("vertex", F.col("cluster").alias("was")), "vertex").where("cluster <> was").isEmpty():
+            return after.select("vertex", "cluster")
+        state = after
 
 
 def _contract(edges: DataFrame, grown: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -80,7 +94,7 @@ def _contract(edges: DataFrame, grown: DataFrame, hot: DataFrame | None) -> Data
     return two.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
 
 
-def linked_groups(rows: DataFrame, order: str, keys: list[str], **options: float) -> DataFrame:
+def linked_groups(rows: DataFrame, order: str, keys: list[str], **options: int) -> DataFrame:
     """Each row of ``rows`` with its group: ``order``, ``group_<order>`` (the group's smallest ``order``) and ``group_rows``.
 
     Rows are linked by an equal non-null value of the same column of ``keys`` (already normalised). A row
@@ -89,8 +103,10 @@ def linked_groups(rows: DataFrame, order: str, keys: list[str], **options: float
 
     Rows with the same keys are one vertex, so heaps of copies are combined map-side before anything is linked.
     """
-    typed = [F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), F.col(k).cast("string"))) for k in keys]
-    every = rows.select(F.col(order).alias("_ord"), F.array_compact(F.array(*typed)).alias("_keys")).withColumn("_vertex", F.xxhash64(F.lit("rows"), F.array_sort("_keys")))
+    # 128 bits of hash, so that strangers don't meet at billions of values.
+    wide = lambda *c: F.struct(F.xxhash64(F.lit(1), *c).alias("h"), F.xxhash64(F.lit(2), *c).alias("g"))
+    typed = [F.when(F.col(k).isNotNull(), wide(F.lit(k), F.col(k).cast("string"))) for k in keys]
+    every = rows.select(F.col(order).alias("_ord"), F.array_compact(F.array(*typed)).alias("_keys")).withColumn("_vertex", wide(F.lit("rows"), F.array_sort("_keys")))
     every = cut(every)
     linked = every.where(F.size("_keys") > 0)
     vertices = linked.groupBy("_vertex").agg(F.min("_ord").alias("_least"), F.count(F.lit(1)).alias("_rows"), F.first("_keys").alias("_keys"))
