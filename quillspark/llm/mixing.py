@@ -13,9 +13,9 @@ removes most of the noise that few and very long documents bring.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.session import hash_uniform, stored
 
@@ -36,6 +36,7 @@ class Plan:
     tokens: int
     rate: float
     mean: float
+    unfitted_tokens: int = 0  #: what the draws yield with the mean of the target rate, before it is settled
 
 
 def _cdf(mean: float, k: int) -> float:
@@ -111,12 +112,12 @@ def _settled(sized: DataFrame, plans: list[Plan], seed: int, doc: str, source: s
         if p.mean > 0:
             aim = p.rate * p.tokens
             best = min(range(len(grid)), key=lambda j: (abs(got.get((p.source, j), 0) - aim), abs(j - GRID)))
-            p = Plan(p.source, p.target_share, p.max_repeats, p.documents, p.tokens, p.rate, p.mean * grid[best])
+            p = replace(p, mean=p.mean * grid[best], unfitted_tokens=int(got.get((p.source, GRID), 0)))
         out.append(p)
     return out
 
 
-def mixture(documents: DataFrame, targets: DataFrame, size: str, doc: str = "doc_id", source: str = "source", total_tokens: int | None = None, seed: int = 11) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, size: str, doc: str = "doc_id", source: str = "source", total_tokens: int | None = None, seed: int = 11, plans: list[Plan] | None = None) -> DataFrame:
     """The mixed documents: all columns of ``documents`` with ``copy`` (1..max_repeats) and ``place`` (random global order).
 
     ``targets`` has ``source, target_share, max_repeats`` (a null cap is 1). ``total_tokens`` defaults to the tokens of the named
@@ -127,7 +128,7 @@ def mixture(documents: DataFrame, targets: DataFrame, size: str, doc: str = "doc
 
     Copies are made where the document is read; the only shuffle is the range partitioning by ``place``.
     """
-    plans = plan_mixture(documents, targets, total_tokens, seed, doc, source, size)
+    plans = plan_mixture(documents, targets, total_tokens, seed, doc, source, size) if plans is None else plans
     kept = [c for c in documents.columns if c not in ("copy", "place")]
     live = {p.source: F.array(*map(F.lit, _steps(p.mean, p.max_repeats))) for p in plans if p.mean > 0}
     steps = F.try_element_at(_table(live), F.col(source)) if live else F.lit(None).cast("array<double>")
@@ -137,19 +138,31 @@ def mixture(documents: DataFrame, targets: DataFrame, size: str, doc: str = "doc
     return copies.withColumn("place", F.xxhash64(F.lit(seed + 1), doc, "copy")).repartitionByRange(F.col("place")).sortWithinPartitions("place")
 
 
-def mixture_report(mixed: DataFrame, targets: DataFrame, size: str, doc: str = "doc_id", source: str = "source") -> DataFrame:
-    """Per source of ``targets``: the target and the reached share of all tokens, tokens, texts, and most uses of one text."""
+def mixture_report(mixed: DataFrame, targets: DataFrame, size: str, doc: str = "doc_id", source: str = "source", plans: list[Plan] | None = None) -> DataFrame:
+    """Per source of ``targets``: the target and the reached share of all tokens, tokens, texts, and most uses of one text.
+
+    With ``plans`` (see :func:`plan_mixture`) also ``unfitted_share``: what the same draws give with the mean of the target rate itself, before the
+    means are settled; null without. Nothing is collected.
+    """
     sums = mixed.groupBy(source).agg(F.sum(size).alias("n_tokens"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct(doc).alias("n_documents"), F.max("copy").alias("most_uses"))
-    spark = mixed.sparkSession
-    rows = {r[source]: r for r in sums.limit(MOST_SOURCES).collect()}
-    total = sum(r["n_tokens"] for r in rows.values())
-    out = []
-    for t in targets.limit(MOST_SOURCES).collect():
-        r = rows.get(t["source"])
-        tokens = int(r["n_tokens"]) if r else 0
-        out.append((t["source"], t["target_share"], tokens / total if total else 0.0, tokens, int(r["n_rows"]) if r else 0, int(r["n_documents"]) if r else 0, int(r["most_uses"]) if r else 0, t["max_repeats"]))
-    kinds = "source string, target_share double, actual_share double, n_tokens bigint, n_rows bigint, n_documents bigint, most_uses int, max_repeats int"
-    return spark.createDataFrame(out, T._parse_datatype_string(kinds))
+    total = sums.agg(F.sum("n_tokens").alias("_total")).withColumn("_one", F.lit(1))
+    unfitted = {p.source: p.unfitted_tokens for p in plans or []}
+    whole = sum(unfitted.values())
+    given = F.try_element_at(_table({k: F.lit(float(v) / whole) for k, v in unfitted.items()}), F.col("source")) if whole else F.lit(None).cast("double")
+    rows = targets.where("source IS NOT NULL").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").join(sums.withColumnRenamed(source, "source"), "source", "left")
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
+    return rows.select(
+        "source", "target_share", F.coalesce(F.col("n_tokens") / F.when(F.col("_total") > 0, F.col("_total")), F.lit(0.0)).alias("actual_share"), given.alias("unfitted_share"),
+        zero("n_tokens", "bigint"), zero("n_rows", "bigint"), zero("n_documents", "bigint"), zero("most_uses", "int"), "max_repeats",
+    )
+
+
+def source_names(targets: DataFrame) -> list[str]:
+    """The sources to mix, at most ``MOST_SOURCES``; more are refused."""
+    names = [r["source"] for r in targets.where("source IS NOT NULL").select("source").distinct().limit(MOST_SOURCES + 1).collect()]
+    if len(names) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    return names
 
 
 def sized_documents(documents: DataFrame, size: Column, name: str) -> DataFrame:

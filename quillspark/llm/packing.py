@@ -6,8 +6,8 @@ residual gap become smallest: opening a container of gap C-s adds 2*N(C-s)+1, fi
 2*(N(g-s)-N(g))+2, where N counts open containers by gap.
 
 Items are spread over blocks by a hash; a block is packed by one task, and blocks grow in number, not in
-size, with the data. The containers a block leaves open are packed once more over blocks of blocks, as units, so little
-room is lost at block borders.
+size, with the data. Items of containers that a block leaves open are packed once more, largest first, within the block.
+The full pieces of texts larger than a container need no packing and never enter a block.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-#: Items in a block, about; the work and memory of a task are bounded by it.
+#: Items in a block, about; as each gives at most one piece to it, the work and memory of a task are bounded by it.
 BLOCK_ITEMS = 20_000
 #: Kinds of container; one row each in ``capacities``.
 MOST_KINDS = 1_000
@@ -72,7 +72,7 @@ def close_gaps(where: np.ndarray, gaps: np.ndarray, sizes: np.ndarray, capacity:
 
 def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
     capacity = int(rows["capacity"].iloc[0])
-    rows = rows.sort_values(["_at", "_item", "piece"], kind="stable")
+    rows = rows.sort_values(["_at", "_item"], kind="stable")
     sizes = rows["n_tokens"].to_numpy()
     box = np.full(len(rows), -1, dtype=np.int64)
     some = np.flatnonzero((sizes > 0) & (sizes < capacity))
@@ -80,9 +80,6 @@ def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
         where, gaps = sum_of_squares(sizes[some], capacity)
         box[some] = close_gaps(where, gaps, sizes[some], capacity)
         box = np.where(box >= 0, box, -1)
-    full = np.flatnonzero(sizes >= capacity)
-    first = box.max() + 1 if len(box) else 0
-    box[full] = first + np.arange(len(full))
     empty = np.flatnonzero(sizes <= 0)
     box[empty] = 0  # an empty text takes no room in the block's first container
     return rows.assign(box=box)
@@ -94,7 +91,7 @@ def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, block_it
     ``items`` has a unique ``item`` and its size in tokens; a null, zero or negative size is an empty item, which
     takes no room. ``capacities`` has ``container`` and ``capacity_tokens`` (one row a kind of container, at most ``MOST_KINDS``; rows
     with a null or non-positive capacity are left out). An item larger than the capacity comes out as several
-    pieces, all but the last filling a container of their own; any other item is one whole piece. ``bin_id`` is unique
+    pieces, all but the last filling a container of their own; any other item is one whole piece. ``bin_id`` (a text) is unique
     within a container kind. Equal sizes are told apart by the hash of the item. Empty inputs give no rows.
     """
     sized = items.select(F.col(item).alias("_item"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("_size"))
@@ -105,19 +102,17 @@ def pack(items: DataFrame, capacities: DataFrame, item: str, size: str, block_it
     each = each if kinds else F.array().cast("array<struct<container:string,capacity:bigint>>")
     n_blocks = _blocks(items, block_items)
     placed = sized.withColumn("_at", F.xxhash64("_item")).withColumn("_block", F.pmod(F.shiftright("_at", 7), F.lit(n_blocks)))
-    pieces = placed.withColumn("_kind", F.explode(each)).select("*", "_kind.container", "_kind.capacity").withColumn(
-        "_p", F.explode(F.sequence(F.lit(0), F.greatest(F.expr("CAST((_size + capacity - 1) DIV capacity AS INT)") - 1, F.lit(0))))
+    kinded = placed.withColumn("_kind", F.explode(each)).select("*", "_kind.container", "_kind.capacity").withColumn("_full", F.expr("_size DIV capacity"))
+    rest = kinded.where("_size = 0 OR _size % capacity > 0").select(
+        "container", "capacity", "_block", "_at", "_item", F.col("_full").cast("int").alias("piece"), (F.col("_full") * F.col("capacity")).alias("token_start"), (F.col("_size") % F.col("capacity")).alias("n_tokens")
     )
-    pieces = pieces.select(
-        "container", "capacity", "_block", "_at", "_item", F.col("_p").alias("piece"), (F.col("_p") * F.col("capacity")).alias("token_start"),
-        F.least(F.col("capacity"), F.col("_size") - F.col("_p") * F.col("capacity")).alias("n_tokens"),
-    )
     kind = items.schema[item].dataType.simpleString()
-    packed = pieces.groupBy("container", "_block").applyInPandas(
+    packed = rest.groupBy("container", "_block").applyInPandas(
         _pack_block, f"container string, capacity bigint, _block bigint, _at bigint, _item {kind}, piece int, token_start bigint, n_tokens bigint, box bigint"
     )
-    # Boxes of a block are numbered from 0 and fewer than its pieces, so the two numbers never run together.
-    return packed.select("container", "capacity", (F.col("_block") * F.lit(1 << 36) + F.col("box")).alias("bin_id"), F.col("_item").alias(item), "piece", "token_start", "n_tokens")
+    whole = kinded.where("_full > 0").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("_full").cast("int") - 1)))
+    columns = lambda bin_id, size: ["container", "capacity", bin_id.alias("bin_id"), F.col("_item").alias(item), "piece", (F.col("piece") * F.col("capacity")).alias("token_start"), F.col(size).alias("n_tokens")]
+    return packed.select(*columns(F.concat_ws("-", "_block", "box"), "n_tokens")).unionByName(whole.select(*columns(F.concat_ws("-", F.lit("full"), "_item", "piece"), "capacity")))
 
 
 def _blocks(items: DataFrame, block_items: int) -> int:
