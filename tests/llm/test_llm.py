@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import abstracts, langid, linkage, lookalike, mixing, packing, spelling
 from quillspark.llm.grouping import components, linked_groups
+from quillspark.llm import names as names_module
 from quillspark.llm.names import link_persons, with_organisation
 from quillspark.llm.organisations import Directory
-from quillspark.llm.survivors import Fields, source_quality, survivors
+from quillspark.llm.survivors import Fields, source_quality, surviving_abstracts, survivors
 from quillspark.llm.tokens import count_tokens, encoding, VOCABULARY
+from quillspark.session import cut
 
 
 def rows(df):
@@ -370,3 +372,106 @@ def test_survivors_hold_all_fields(spark, tmp_path):
     assert (got["url"].rstrip("/"), got["citations"], got["reference_count"], got["synthetic_confidence"]) == ("https://x.example/a", "5", "7", "0.5")
     assert [(a["author_id"], a["name"]) for a in got["authors"]] == [("A1", "Ann Bee"), (None, "Cy Dee")]
     assert [(e["source"], e["confidence"]) for e in got["evidence_list"]] == [("a", 0.9), ("b", 0.8)]
+
+
+# Added: blocking, bands, short names, organisations by a join, planted sources
+
+
+@pytest.mark.parametrize("length", [3, 4, 5, 6, 7, 8, 10])
+def test_bands_meet_at_one_error(length):
+    rng = random.Random(length)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    hashes: dict = {}
+    met = tried = 0
+    for _ in range(400):
+        w = "".join(rng.choices(letters, k=length))
+        i, kind = rng.randrange(length), rng.choice(["wrong", "less", "more", "swap"] if length > 3 else ["wrong", "more"])
+        v = {"wrong": w[:i] + rng.choice(letters) + w[i + 1 :], "less": w[:i] + w[i + 1 :], "more": w[:i] + rng.choice(letters) + w[i:], "swap": w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]}[kind]
+        if v != w:
+            tried += 1
+            met += bool(set(names_module.bands_of(w, hashes)) & set(names_module.bands_of(v, hashes)))
+    assert met >= 0.95 * tried
+
+
+def test_short_names(spark):
+    people = [("A1", "Wei Li"), ("A2", "Jun Wu"), ("A3", "Bo Xu"), ("A4", "Yi Ma"), ("A5", "Ng K. C."), ("A6", "李伟"), ("A7", "Ann Lee"), ("A8", "欧阳娜娜")]
+    persons = spark.createDataFrame([(i, n, [], []) for i, n in people], "id string, name string, aliases array<string>, orgs array<bigint>")
+    typed = [(1, "Li Wei", "A1"), (2, "LI, Wei", "A1"), (3, "J. Wu", "A2"), (4, "Bo Xu", "A3"), (5, "Y Ma", "A4"), (6, "K. C. Ng", "A5"), (7, "李伟", "A6"), (8, "Ann Lee", "A7"), (9, "欧阳娜娜", "A8"), (10, "Zoe Other", None)]
+    entries = spark.createDataFrame([(k, n, None) for k, n, _ in typed], "k int, name string, org bigint")
+    got = {r["k"]: r["person"] for r in link_persons(entries, persons, ["k"]).collect()}
+    assert got == {k: p for k, _, p in typed if p}
+
+
+def test_many_organisations(spark, monkeypatch):
+    known = spark.createDataFrame(
+        [(i, f"University of {c}", f"U{c[0]}", c, "Land") for i, c in enumerate(["Alba", "Brint", "Corvo", "Delmar"])] + [(9, "Institute of Applied Rivers", "IAR", "Brint", "Land"), (10, None, None, None, None)],
+        "inst_id bigint, name string, acronym string, city string, country string",
+    )
+    lines = ["Univ. of Alba", "Universty of Brint, Brint", "Inst. Applied Rivers", "IAR, Brint", "University of Nowhere", "Dept. of Physics, Univ. Corvo", "", None, "UD"]
+    rows_ = spark.createDataFrame([(i, t, 0) for i, t in enumerate(lines)], "k int, line string, _n int")
+    kept = {r["k"]: r["org"] for r in with_organisation(rows_, "line", known, "org").collect()}
+    monkeypatch.setattr(names_module, "KEPT_ORGANISATIONS", 2)
+    joined = {r["k"]: r["org"] for r in with_organisation(rows_, "line", known, "org").collect()}
+    assert joined == kept and kept[0] == 0 and kept[2] == 9 and kept[4] is None and kept[7] is None
+    assert with_organisation(rows_.limit(0), "line", known, "org").count() == 0
+
+
+def test_blocking_finds_what_brute_force_finds(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    common = [word() for _ in range(30)]
+    titles = [[*rng.sample(common, 5), word() + "x"] for _ in range(120)]
+
+    def typo(ws):
+        ws = list(ws)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            i = rng.randrange(len(ws))
+            at = rng.randrange(len(ws[i]))
+            ws[i] = ws[i][:at] + rng.choice("aeioubdf") + ws[i][at + 1 :]
+        return ws[:-1] if rng.random() < 0.1 else ws
+
+    a, b = [" ".join(t) for t in titles], [" ".join(typo(t)) for t in titles]
+    truth = {(x, y) for x in set(a) for y in set(b) if linkage._title_level(x.split(), y.split(), False) >= 2}
+    frame = lambda ts, side: spark.createDataFrame([(side, t, False) for t in sorted(set(ts))], "left boolean, words string, cut boolean")
+    both = cut(frame(a, True).unionByName(frame(b, False)).selectExpr("left", "words", "cut", "monotonically_increasing_id() AS t"))
+    text = {r["t"]: r["words"] for r in both.collect()}
+    met = {(text[r["l"]], text[r["r"]]) for r in linkage.proposed(both).select("l", "r").distinct().collect()}
+    assert len(truth & met) >= 0.97 * len(truth) and len(met) < 0.2 * len(set(a)) * len(set(b))
+
+
+def test_titles_cut_off_and_in_signs():
+    whole = "sampling rivers deep water lakes".split()
+    assert linkage._title_level("sampling rivers dee…".split(), whole, True) == 3
+    assert linkage._title_level("sampling rivers win…".split(), whole, True) < 3
+    assert linkage._title_level("tool 湍 流 模 型 与 酶 的 活 性 研 究".split(), "tool 轨 道 周 期 与 酶 的 活 性 研 究".split(), False) < 2
+    assert linkage._title_level("tool 湍 流 模 型 与 酶 的 活 性 研 究".split(), "tool 湍 流 模 型 与 酶 地 活 性 研 究".split(), False) == 3
+
+
+def test_survivors_prefer_good_sources_to_trusted_rows(spark):
+    # Two sources that mostly agree give a year; a third gives wrong ones with high confidence. The model learns whom to believe.
+    out = []
+    for g in range(60):
+        for k, (source, year, conf) in enumerate((("good1", 2000 + g % 20, 0.5), ("good2", 2000 + g % 20, 0.5), ("bad", 1900 + g, 0.99))):
+            out.append((10 * g + k, f"g{g}", year, [(source, None, "u", datetime(2025, 1, 1, tzinfo=timezone.utc), conf, None)]))
+    df = spark.createDataFrame(out, f"ord bigint, id string, year int, evidence_list {EV}").selectExpr("*", "CAST(NULL AS STRING) AS abstract")
+    from pyspark.sql import functions as F
+
+    got = {r["id"]: int(r["year"]) for r in survivors(df, Fields(single={"year": (F.col("year"), F.col("year"))}), "evidence_list", AS_OF).collect()}
+    assert got == {f"g{g}": 2000 + g % 20 for g in range(60)}
+    alone = {r["id"]: (r["n_rows"], r["abstract_ord"]) for r in surviving_abstracts(df, "abstract", "evidence_list", AS_OF).collect()}
+    assert alone == {f"g{g}": (3, None) for g in range(60)}
+
+
+def test_other_scripts_are_undetermined(spark):
+    text = "هذه جملة طويلة بعض الشيء عن البحر والأنهار. وهذه جملة أخرى طويلة عن الجبال والأنهار."
+    df = spark.createDataFrame([(1, text, None), (2, EN, None)], "doc_id bigint, text string, lang string")
+    found = {r["doc_id"]: {s["lang"] for s in r["segments"]} for r in langid.detect(df, model()).collect()}
+    assert found == {1: {"und"}, 2: {"en"}}
+
+
+def test_pieces_of_long_texts_stay_out_of_blocks(spark):
+    items = spark.createDataFrame([(1, 25), (2, 10), (3, 0), (4, None), (5, 7)], "doc bigint, n bigint")
+    caps = spark.createDataFrame([("c", 10)], "container string, capacity_tokens bigint")
+    got = packing.pack(items, caps, "doc", "n").collect()
+    assert sorted((r["doc"], r["piece"], r["token_start"], r["n_tokens"]) for r in got) == [(1, 0, 0, 10), (1, 1, 10, 10), (1, 2, 20, 5), (2, 0, 0, 10), (3, 0, 0, 0), (4, 0, 0, 0), (5, 0, 0, 7)]
+    assert all(sum(x["n_tokens"] for x in got if x["bin_id"] == b) <= 10 for b in {r["bin_id"] for r in got})
