@@ -418,3 +418,135 @@ def test_entry_without_llm():
 
     code = "import sys; sys.modules['quillspark.llm'] = None; import __spark_entry__ as e; assert e._llm is None and 'p4_found' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+# Added: refresh, greedy names, graph snapshots, extraction, store
+
+
+def test_refresh_matches_the_sequential_definition(spark):
+    import random as _random
+
+    from quillspark.operators import refresh
+
+    rng = _random.Random(3)
+    words = "rivers lakes deep cold water stone model study north south wind".split()
+    rows = []
+    for k in range(60):
+        base = rng.randrange(18)
+        title = " ".join(words[(base + j) % 11] for j in range(6 if base % 2 else 5)) + (" extra" if rng.random() < 0.2 else "")
+        rows.append((k, rng.choice([None, f"W{base}"]), rng.choice([None, f"10.1000/{base}"]), rng.choice([None, f"http://x/{base}/"]), title, 2000 + base % 3, None, None, None, None, [{"name": f"N {base}"}], [], []))
+    kind = "ord bigint, id string, doi string, url string, title string, year int, venue string, abstract string, pdf_url string, citations bigint, authors array<struct<name:string>>, keywords array<string>, evidence_list array<struct<source:string,confidence:double,collected_at:timestamp,raw_data:string>>"
+    df = spark.createDataFrame(rows, kind)
+    new, old = df.where("ord % 2 = 1"), df.where("ord % 2 = 0")
+    got = {r["ord"]: r["old_ord"] for r in refresh.detect(new, old).collect()}
+
+    def key(t):
+        return " ".join(t.split())
+
+    olds = [r for r in rows if r[0] % 2 == 0]
+    taken, want = set(), {}
+    owner = lambda r: r[1] or r[0]
+    for n in [r for r in rows if r[0] % 2 == 1]:
+        hit = None
+        tests = [lambda o: n[1] and o[1] == n[1], lambda o: n[2] and o[2] == n[2], lambda o: n[3] and o[3] == n[3], lambda o: (o[4], o[10], o[5]) == (n[4], n[10], n[5])]
+        for t in tests:
+            same = [o for o in olds if t(o)]
+            if same and owner(same[-1]) not in taken:
+                hit = same[-1]
+                break
+        if hit is None:
+            best = 0.0
+            for o in olds:
+                a, b = set(key(n[4]).split()), set(key(o[4]).split())
+                share = len(a & b) / len(a | b)
+                people = 1.0 if n[10] == o[10] else 0.0
+                score = 0.9 * share + 0.1 * people if share >= 0.95 else 0.7 * share + 0.3 * people
+                if owner(o) not in taken and share >= 0.8 and abs(n[5] - o[5]) <= 1 and score >= 0.85 and score > best + 1e-12:
+                    best, hit = score, o
+        if hit is not None:
+            taken.add(owner(hit))
+        want[n[0]] = hit[0] if hit else None
+    assert {k: owner(rows[v]) if v is not None else None for k, v in got.items()} == {k: owner(rows[v]) if v is not None else None for k, v in want.items()}
+    assert refresh.detect(new.limit(0), old).count() == 0 and {r["change"] for r in refresh.detect(new, old.limit(0)).collect()} == {"new"}
+    stored, counts = refresh.applied(refresh.detect(new, old), new, old)
+    assert stored.groupBy("id").count().where("count > 1").isEmpty() and sum(r["n"] for r in counts.collect()) == 30
+
+
+def test_seed_clusters_follow_the_greedy_pass(spark):
+    from quillspark.operators.authors import seed_clusters
+
+    names = ["a b c d e", "a b c d", "a b c", "x y", "y x", None, "", "a b c d e f", "q", "b c d e f a"]
+    got = {r["ord"]: r["cluster"] for r in seed_clusters(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "ord bigint, name string")).collect()}
+    want, left = {}, list(range(len(names)))
+    while left:
+        seed, *rest = left
+        a = set((names[seed] or "").split())
+        members = [o for o in rest if (names[o] or "") == (names[seed] or "") or (a or (names[o] or "").split()) and len(a & set((names[o] or "").split())) / len(a | set((names[o] or "").split())) >= 0.8]
+        for m in [seed, *members]:
+            want[m] = seed
+        left = [x for x in rest if x not in members]
+    assert got == want
+
+
+def test_author_clusters(spark):
+    from quillspark.operators.authors import author_clusters, disambiguated
+
+    def author(i, name, orcid=None, affiliation="Univ of Alba", interests=("rivers",), years=(2000, 2010), co=("c1",), venues=("v",)):
+        return (i, f"id{i}", name, orcid, None, None, affiliation, None, None, 1, 2, list(interests), list(co), list(venues), list(years), [], "auto", [])
+
+    kind = "ord bigint, id string, name string, orcid string, semantic_scholar_id string, openalex_id string, affiliation string, email string, homepage string, h_index int, citations bigint, interests array<string>, coauthors array<string>, venues array<string>, active_years array<int>, aliases array<string>, disambiguation_status string, evidence_list array<struct<source:string,confidence:double,collected_at:timestamp,raw_data:string>>"
+    rows = [author(1, "Ann Bo"), author(2, "Ann Bo"), author(3, "Bo Ann"), author(4, "Ann Bo", affiliation="Other Place", interests=("stars",), co=(), venues=(), years=()), author(5, "Zed Yon"), author(6, "Q R", orcid="0000-0001-0000-0001"), author(7, "Someone Else", orcid="0000-0001-0000-0001")]
+    df = spark.createDataFrame(rows, kind)
+    got = {r["ord"]: r["cluster"] for r in author_clusters(df).collect()}
+    assert got[1] == got[2] == got[3] == 1 and got[5] == 5 and got[6] == got[7] == 6 and got[4] != got[5]
+    assert {r["cluster"]: r["n_records"] for r in disambiguated(df).collect()}[6] == 2
+    assert author_clusters(df.limit(0)).count() == 0
+
+
+def test_graph_snapshot_is_checked(spark, tmp_path):
+    from quillspark.operators import knowledge
+
+    nodes = spark.createDataFrame([("a", "paper", "A"), ("b", "paper", None)], "node string, kind string, title string")
+    edges_ = spark.createDataFrame([("a", "b", "references")], "source string, target string, relation string")
+    path = str(tmp_path / "g")
+    knowledge.Graph(nodes, edges_).save(path)
+    back = knowledge.Graph.load(spark, path)
+    assert back.nodes.count() == 2 and back.path("a", "b") == ["a", "b"] and back.path("b", "a") == []
+    for bad_nodes, bad_edges in ((nodes.limit(1), edges_), (nodes.unionByName(nodes), edges_), (nodes, edges_.unionByName(edges_))):
+        knowledge.Graph(bad_nodes, bad_edges).save(path)
+        with pytest.raises(ValueError, match="graph snapshot"):
+            knowledge.Graph.load(spark, path)
+    with pytest.raises(ValueError, match="unknown relations"):
+        knowledge.relations(["likes"])
+
+
+def test_selectors():
+    from quillspark.operators.extraction import Rule, Spec, evaluate
+
+    page = "<div id='x' class='a b'><p>One <b>two</b></p><p data-k='v'>Three</p><br></div><p>Out</p>"
+    spec = Spec("s", {"first": Rule("#x p"), "all": Rule("div.a.b p", many=True), "attr": Rule("p[data-k]", "data-k"), "none": Rule("span", default="-"), "one": Rule("[data-k=v]")})
+    assert evaluate(page, spec) == {"first": ["One two"], "all": ["One two", "Three"], "attr": ["v"], "none": ["-"], "one": ["Three"]}
+    assert evaluate("", spec)["none"] == ["-"] and evaluate("<p", spec)["first"] == []
+
+
+def test_one_hot_key_is_spread(spark, monkeypatch):
+    from quillspark import session
+    from pyspark.sql import functions as F
+
+    rows = spark.range(60_000).select(F.col("id").alias("ord"), F.when(F.col("id") % 100 < 98, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    few = spark.createDataFrame([("hot", 1), ("99", 2)], "k string, v int")
+    got = session.lookup(rows, few, "k")
+    assert got.where("v = 1").count() == 58_800 and got.where("v = 2").count() == 1 and got.count() == 60_000
+    monkeypatch.setattr(session, "BLOCK_PAIRS", 10_000)
+    left, right = rows.select("ord", "k"), rows.where("ord < 500").select(F.col("ord").alias("o"), "k")
+    assert session.block_join(left, right, "k", "ord").count() == left.join(right, "k").count()
+
+
+def test_capped_depth(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.operators.store import TRUNCATED, capped_depth
+
+    deep, flat, quoted = "[" * 5 + "]" * 5, "[[]]", '{"a": "[[[[[[[["}'
+    df = spark.createDataFrame([(deep,), (flat,), (quoted,), (None,)], "t string")
+    assert [r[0] for r in df.select(capped_depth(F.col("t"), 4)).collect()] == [TRUNCATED, flat, quoted, None]
