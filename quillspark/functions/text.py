@@ -175,3 +175,29 @@ def year_range(text: str | None) -> tuple[int | None, int | None]:
     if (m := re.fullmatch(r"\s*(\d{4})(?:\s*-\s*(\d{4}))?\s*", text)) is None or (m[2] and m[2] < m[1]):
         raise ValueError(f"not a year or a range of years: {text}")
     return int(m[1]), int(m[2] or m[1])
+
+
+def surname(c: Column) -> Column:
+    """The last token of a name in the narrower key of people, or null."""
+    key = ascii_cjk_key(c)
+    return F.nullif(F.element_at(F.split(key, " "), -1), F.lit(""))
+
+
+def significant_tokens(c: Column) -> Column:
+    """Distinct tokens of a name that have two characters or more, sorted."""
+    return F.filter(tokens(title_key(c)), lambda t: F.length(t) > 1)
+
+
+def index_keys(c: Column) -> Column:
+    """What a name is indexed by: its significant tokens, and all runs of two characters of those with three or four."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(significant_tokens(c), lambda t: F.concat(F.array(t), F.when(F.length(t).isin(3, 4), F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))))))
+
+
+def arxiv_of_doi(c: Column) -> Column:
+    """The preprint id that a DOI of the preprint server names, without version, or null."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(F.lower(F.trim(c)), r"10\.48550/arxiv\.((?:[0-9]{4}\.[0-9]{4,5}|[a-z\-.]+/[0-9]{7})(?:v[0-9]+)?)$", 1), r"v[0-9]+$", ""), F.lit(""))
+
+
+def sorted_json(columns: dict[str, Column]) -> Column:
+    """Compact JSON text of named columns in the order of their names; nulls are written."""
+    return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"})

@@ -17,6 +17,13 @@ SAME, AMBIGUOUS = 0.85, 0.60
 GENERIC = ("and", "at", "center", "centre", "college", "department", "dept", "faculty", "institute", "institutes", "lab", "laboratory", "of", "research", "school", "the", "universities", "university")
 
 
+def changed_lists(old: str, new: str) -> Column:
+    """Which of keywords and bylines differ, case and blanks at the ends aside, in order; null equals an empty list."""
+    low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda t: F.lower(F.trim(t)))
+    names = lambda s: F.transform(F.col(f"{s}.authors"), lambda a: a["name"])
+    return F.array_compact(F.array(F.when(low(F.col(f"{old}.keywords")) != low(F.col(f"{new}.keywords")), "keywords"), F.when(low(names(old)) != low(names(new)), "authors")))
+
+
 def changed_fields(old: str, new: str, kinds: dict[str, str]) -> Column:
     """Names of the tracked fields that differ; texts are compared trimmed, null equals null only."""
     def side(s: str, c: str) -> Column:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["integrity", "records", "fusion", "network", "flows", "people", "exchange", "storage", "collecting"]
+MODULES = ["integrity", "records", "fusion", "network", "flows", "people", "exchange", "storage", "collecting", "details"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
