@@ -8,7 +8,7 @@ from quillspark.functions.ids import record_key
 from quillspark.functions.text import title_key, tokens, url_ok
 from quillspark.operators.filters import name_matches
 from quillspark.operators.quality import primary_evidence
-from quillspark.session import lookup
+from quillspark.session import block_join, lookup
 
 # Hosts whose copies can't be told to be legal open access.
 DENIED_HOSTS = ("academia.edu", "researchgate.net", "www.academia.edu", "www.researchgate.net")
@@ -23,7 +23,7 @@ def rank_candidates(queries: DataFrame, authors: DataFrame, n: int) -> DataFrame
     """
     asked = queries.select("query", tokens(title_key(F.col("query"))).alias("q")).where(F.size("q") > 0).distinct()
     known = authors.select("ord", "citations", "h_index", tokens(title_key(F.col("name"))).alias("t"))
-    hits = known.select("*", F.explode("t").alias("k")).join(asked.select("*", F.element_at("q", -1).alias("k")), "k").where(F.size(F.array_except("q", "t")) == 0)
+    hits = block_join(known.select("*", F.explode("t").alias("k")), asked.select("*", F.element_at("q", -1).alias("k")), "k", "ord").where(F.size(F.array_except("q", "t")) == 0)
     w = Window.partitionBy("query").orderBy((F.col("q") != F.col("t")).cast("int"), F.desc_nulls_last("citations"), F.desc_nulls_last("h_index"), "ord")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query", "ord", "rank")
 

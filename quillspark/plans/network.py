@@ -182,9 +182,9 @@ _FLAT = "SELECT coalesce('id:' || id, 'name:' || name) AS author, arg_min(name,
 _CHG = ", ".join(
     f"CASE WHEN {('trim(o.%s)' if t else 'o.%s') % c} IS DISTINCT FROM {('trim(n.%s)' if t else 'n.%s') % c} THEN '{c}' END" for c, t in (("title", 1), ("year", 0), ("venue", 1), ("abstract", 1), ("doi", 1), ("url", 1), ("pdf_url", 1), ("citations", 0))
 )
-_DETECT = f"""news AS (SELECT *, nullif(id, '') AS k1, nullif(lower(doi), '') AS k2, nullif(lower(regexp_replace(url, '/+$', '')), '') AS k3 FROM papers WHERE ord % 2 = 1),
-olds AS (SELECT *, nullif(id, '') AS k1, nullif(lower(doi), '') AS k2, nullif(lower(regexp_replace(url, '/+$', '')), '') AS k3 FROM papers WHERE ord % 2 = 0),
-m AS (SELECT n.ord AS n_ord, coalesce((SELECT max(ord) FROM olds o WHERE o.k1 = n.k1), (SELECT max(ord) FROM olds o WHERE o.k2 = n.k2), (SELECT max(ord) FROM olds o WHERE o.k3 = n.k3)) AS o_ord FROM news n),
+_DETECT = f"""news AS (SELECT *, nullif(id, '') AS k1, nullif(lower(doi), '') AS k2, nullif(lower(regexp_replace(url, '/+$', '')), '') AS k3, CASE WHEN title IS NOT NULL THEN title || '|' || coalesce(array_to_string(list_filter(list_transform(authors, lambda a: a.name), lambda x: x IS NOT NULL), '|'), '') || '|' || coalesce(CAST(year AS VARCHAR), '') || '|' || coalesce(venue, '') END AS k4 FROM papers WHERE ord % 2 = 1),
+olds AS (SELECT *, nullif(id, '') AS k1, nullif(lower(doi), '') AS k2, nullif(lower(regexp_replace(url, '/+$', '')), '') AS k3, CASE WHEN title IS NOT NULL THEN title || '|' || coalesce(array_to_string(list_filter(list_transform(authors, lambda a: a.name), lambda x: x IS NOT NULL), '|'), '') || '|' || coalesce(CAST(year AS VARCHAR), '') || '|' || coalesce(venue, '') END AS k4 FROM papers WHERE ord % 2 = 0),
+m AS (SELECT n.ord AS n_ord, coalesce((SELECT max(ord) FROM olds o WHERE o.k1 = n.k1), (SELECT max(ord) FROM olds o WHERE o.k2 = n.k2), (SELECT max(ord) FROM olds o WHERE o.k3 = n.k3), (SELECT max(ord) FROM olds o WHERE o.k4 = n.k4)) AS o_ord FROM news n),
 chg AS (SELECT m.n_ord AS ord, m.o_ord AS old_ord, CASE WHEN m.o_ord IS NOT NULL THEN array_to_string(list_filter([{_CHG}], lambda x: x IS NOT NULL), ',') END AS changed FROM m JOIN papers n ON n.ord = m.n_ord LEFT JOIN papers o ON o.ord = m.o_ord),
 detected AS (SELECT ord, CASE WHEN old_ord IS NULL THEN 'new' WHEN changed <> '' THEN 'updated' ELSE 'unchanged' END AS change, old_ord, changed FROM chg)"""
 

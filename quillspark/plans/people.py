@@ -9,12 +9,10 @@ from quillspark.plans.fusion import _KEY
 from quillspark.plans.records import _OK, _TITLE
 from quillspark.sources.tables import table
 
-NAMES = ["Maria", "Polulesku Chiara", "Thomas", "J. Robert", ""]
-
-
 def resolve_search(spark: SparkSession, d: str) -> DataFrame:
-    """The best eight authors for each of some names."""
-    return identity.rank_candidates(spark.createDataFrame([(n,) for n in NAMES], "query string"), table(spark, d, "authors"), 8)
+    """The best eight authors for the name of every author whose ord is divisible by 20, among all authors."""
+    authors = table(spark, d, "authors")
+    return identity.rank_candidates(authors.where("ord % 20 = 0 AND name IS NOT NULL").select(F.col("name").alias("query")), authors, 8)
 
 
 def resolve_entries(spark: SparkSession, d: str) -> DataFrame:
@@ -61,13 +59,12 @@ def watched_bylines(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (resolve_search, resolve_entries, authorities, byline_entries, institution_parts, fused_authors, open_locations, cross_validated, watched_bylines)}
 
 _TOK = "list_sort(list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> '')))"
-_ASK = ", ".join(f"('{n}')" for n in NAMES)
 _CONF = "list_max(list_transform(list_filter(coalesce(evidence_list, []), lambda e: e.confidence >= 0 AND e.confidence <= 1), lambda e: e.confidence))"
 _HOST = r"lower(regexp_extract({0}, '^[a-zA-Z]+://([^@/]*@)?([^/:?#]+)', 2))"
 _LEGAL = f"({_OK} AND {_HOST} NOT IN ('academia.edu', 'researchgate.net', 'www.academia.edu', 'www.researchgate.net'))"
 _FIRST = ", ".join(f"arg_min({c}, (-conf, ord)) FILTER ({c} <> '') AS {c}" for c in ("name", "orcid", "affiliation", "email", "homepage"))
 ORACLES = {
-    "resolve_search": f"""WITH q AS (SELECT query, {_TOK.format(_TITLE.format('query'))} AS q FROM (VALUES {_ASK}) v(query)), a AS (SELECT ord, citations, h_index, {_TOK.format(_TITLE.format('name'))} AS t FROM authors)
+    "resolve_search": f"""WITH q AS (SELECT query, {_TOK.format(_TITLE.format('query'))} AS q FROM (SELECT DISTINCT name AS query FROM authors WHERE ord % 20 = 0 AND name IS NOT NULL)), a AS (SELECT ord, citations, h_index, {_TOK.format(_TITLE.format('name'))} AS t FROM authors)
         SELECT query, ord, CAST(row_number() OVER (PARTITION BY query ORDER BY q <> t, citations DESC NULLS LAST, h_index DESC NULLS LAST, ord) AS INT) AS rank FROM q JOIN a ON len(q) > 0 AND list_has_all(t, q) QUALIFY rank <= 8""",
     "resolve_entries": f"""WITH i AS (SELECT DISTINCT {_KEY.format('id')} AS k FROM authors), n AS (SELECT lower(trim(name)) AS n, min({_KEY.format('id')}) AS b FROM authors GROUP BY 1 HAVING count(DISTINCT {_KEY.format('id')}) = 1),
         e AS (SELECT ord, a.position AS position, {_KEY.format('a.author_id')} AS k, lower(trim(a.name)) AS nm FROM (SELECT ord, unnest(authors) AS a FROM papers))
