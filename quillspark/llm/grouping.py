@@ -73,18 +73,18 @@ def _grow(edges: DataFrame, hot: DataFrame | None, beta: float, hops: int, seed:
     def step(now: DataFrame) -> DataFrame:
         # The best claim each vertex hears of: its own, or a neighbour's with one hop less of head start.
         heard = lookup(hop, now, "vertex", "inner", _named(hot, "vertex"))
-        best = heard.groupBy("b").agg(F.max(F.struct((F.col("left") - F.col("cost")).alias("left"), "cluster")).alias("claim"))
-        return best.select(F.col("b").alias("vertex"), "claim.left", "claim.cluster")
+        best = heard.groupBy("b").agg(F.max(F.struct((F.col("left") - F.col("cost")).alias("left"), "cluster")).alias("claim"), F.max(F.when(F.col("cost") == 0, F.col("cluster"))).alias("was"))
+        return best.select(F.col("b").alias("vertex"), "claim.left", "claim.cluster", (F.col("claim.cluster") != F.col("was")).alias("moved"))
 
     # A claim loses one a hop and the largest start is some ln(n) / beta, so a chain of that length is the most that can follow.
     while True:
         for _ in range(hops):
-            state = step(state)
+            state = step(state.select("vertex", "left", "cluster"))
+            if hot is not None:
+                state = cut(state)
         state = cut(state)
-        after = cut(step(state))
-        if after.join(state.select("vertex", F.col("cluster").alias("was")), "vertex").where("cluster <> was").isEmpty():
-            return after.select("vertex", "cluster")
-        state = after
+        if state.where("moved").isEmpty():  # the last hop moved nothing, so no further one does
+            return state.select("vertex", "cluster")
 
 
 def _contract(edges: DataFrame, grown: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -109,14 +109,15 @@ def linked_groups(rows: DataFrame, order: str, keys: list[str], **options: int)
     every = rows.select(F.col(order).alias("_ord"), F.array_compact(F.array(*typed)).alias("_keys")).withColumn("_vertex", wide(F.lit("rows"), F.array_sort("_keys")))
     every = cut(every)
     linked = every.where(F.size("_keys") > 0)
+    # Vertices and shared values are numbered once, odd and even; the tables are written before the numbers are used.
+    numbered = F.monotonically_increasing_id() * 2
     vertices = linked.groupBy("_vertex").agg(F.min("_ord").alias("_least"), F.count(F.lit(1)).alias("_rows"), F.first("_keys").alias("_keys"))
-    vertices = cut(vertices)
-    ends = vertices.select("_vertex", F.explode("_keys").alias("_key"))
-    shared = ends.groupBy("_key").agg(F.count(F.lit(1)).alias("_ends")).where("_ends > 1").select("_key")
-    edges = lookup(ends, shared, "_key", "left_semi").select(F.col("_vertex").alias("a"), F.col("_key").alias("b"))
-    found = components(edges, **options).where("component IS NOT NULL").select(F.col("vertex").alias("_vertex"), "component")
-    placed = vertices.select("_vertex", "_least", "_rows").join(found, "_vertex", "left").withColumn("component", F.coalesce("component", "_vertex"))
-    placed = cut(placed)
+    vertices = cut(vertices.withColumn("_id", numbered))
+    ends = vertices.select("_id", F.explode("_keys").alias("_key"))
+    shared = cut(ends.groupBy("_key").agg(F.count(F.lit(1)).alias("_ends")).where("_ends > 1").select("_key", (numbered + 1).alias("_value")))
+    edges = lookup(ends, shared, "_key", "inner").select(F.col("_id").alias("a"), F.col("_value").alias("b"))
+    found = components(edges, **options).select(F.col("vertex").alias("_id"), "component")
+    placed = cut(vertices.select("_id", "_vertex", "_least", "_rows").join(found, "_id", "left").withColumn("component", F.coalesce("component", "_id")))
     totals = placed.groupBy("component").agg(F.min("_least").alias(f"group_{order}"), F.sum("_rows").alias("group_rows"))
     named = cut(lookup(placed.select("_vertex", "component"), totals, "component", "inner").drop("component"))
     return (
