@@ -28,6 +28,21 @@ def rank_candidates(queries: DataFrame, authors: DataFrame, n: int) -> DataFrame
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query", "ord", "rank")
 
 
+def chosen_candidate(hits: DataFrame) -> DataFrame:
+    """``query, ord, tier`` of the hit that a name search should take (columns query, name, citations, h_index, ord).
+
+    Hits with exactly the query's tokens (of two characters or more) come first: the most cited, for names in CJK signs the one with the highest
+    h-index; then, for such queries, hits in those signs by citations; then all by h-index and citations. Equals go by ord.
+    """
+    longer = lambda c: F.filter(tokens(title_key(c)), lambda t: F.length(t) > 1)
+    signs = lambda c: c.rlike("[\\u3400-\\u9fff]")
+    q, n = longer(F.col("query")), longer(F.col("name"))
+    h, c = -F.coalesce("h_index", F.lit(0)).cast("bigint"), -F.coalesce("citations", F.lit(0)).cast("bigint")
+    tier = F.when((F.size(q) > 0) & (q == n), 1).when(signs(F.col("query")) & signs(F.col("name")), 2).otherwise(3)
+    first, second = F.when(tier == 1, F.when(signs(F.col("query")), h).otherwise(c)).when(tier == 2, c).otherwise(h), F.when((tier == 3) | ((tier == 1) & signs(F.col("query"))), c).otherwise(F.lit(0))
+    return hits.groupBy("query").agg(F.min(F.struct(tier.alias("tier"), first.alias("a"), second.alias("b"), "ord")).alias("r")).select("query", "r.ord", "r.tier")
+
+
 def locate_in_byline(authors: str, name: str) -> Column:
     """The byline entry with that name (case aside), else the first whose name matches it; null if there is none."""
     equal = F.filter(authors, lambda a: F.lower(F.trim(a["name"])) == name.lower().strip())

@@ -17,6 +17,7 @@ BASELINE = {
 DEFAULT_BASELINE = 0.50
 MULTI_SOURCE, DOI_BONUS, PDF_BONUS, STALE_PENALTY, STALE_DAYS = 0.05, 0.05, 0.03, 0.10, 730
 EVIDENCE_CAP = 500
+LEAST_CONFIDENCE = 0.5
 # The DOI prefix of polluted records, and the formats of DOIs and e-mail addresses.
 SUSPICIOUS_PREFIX = "10.65215"
 DOI_TEXT = r"^(?i)10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+$"
@@ -43,8 +44,9 @@ def paper_errors(now: datetime) -> Column:
     return F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))
 
 
-def paper_warnings(now: datetime) -> Column:
-    """Names of doubtful fields; warnings never make a record invalid."""
+def paper_warnings(now: datetime, columns: dict[str, str] | None = None, least: float = LEAST_CONFIDENCE) -> Column:
+    """Names of doubtful fields; warnings never make a record invalid. With ``columns`` (name to type) also 'confidence' for records
+    whose confidence is below ``least``."""
     tests = [
         ("title", F.coalesce(F.length("title") > 500, F.lit(False))),
         ("authors", F.coalesce(F.size("authors"), F.lit(0)) <= 0),
@@ -53,6 +55,8 @@ def paper_warnings(now: datetime) -> Column:
         ("future_year", F.coalesce(F.col("year") > now.year, F.lit(False))),
         ("doi_prefix", F.coalesce(F.lower(F.trim("doi")).startswith(SUSPICIOUS_PREFIX), F.lit(False))),
     ]
+    if columns is not None:
+        tests.append(("confidence", record_confidence(now, columns) < least))
     return F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))
 
 

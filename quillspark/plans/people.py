@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.functions.text import surname
 from quillspark.operators import identity
 from quillspark.plans.fusion import _KEY
 from quillspark.plans.records import _OK, _TITLE
+from quillspark.session import block_join
 from quillspark.sources.tables import table
 
 def resolve_search(spark: SparkSession, d: str) -> DataFrame:
@@ -15,6 +17,13 @@ def resolve_search(spark: SparkSession, d: str) -> DataFrame:
     return identity.rank_candidates(authors.where("ord % 20 = 0 AND name IS NOT NULL").select(F.col("name").alias("query")), authors, 8)
 
 
+def chosen_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """For the surname and given initial of every twentieth author, with and without the rest, the author a name search should take."""
+    authors = table(spark, d, "authors").where("name IS NOT NULL").select("ord", "name", "citations", "h_index", surname(F.col("name")).alias("s")).where("s IS NOT NULL")
+    asked = authors.where("ord % 20 = 0").select(F.col("name").alias("query"), "s").distinct()
+    return identity.chosen_candidate(block_join(authors, asked, "s", "ord"))
+
+
 def resolve_entries(spark: SparkSession, d: str) -> DataFrame:
     entries = table(spark, d, "papers").select("ord", F.explode("authors").alias("a")).select("ord", "a.position", "a.author_id", "a.name")
     return identity.confirmed_ids(entries, table(spark, d, "authors").select("id", "name"))
@@ -56,14 +65,19 @@ def watched_bylines(spark: SparkSession, d: str) -> DataFrame:
     return identity.watch_list(names, table(spark, d, "authors").select("name")).select("ord", "position")
 
 
-QUERIES = {f.__name__: f for f in (resolve_search, resolve_entries, authorities, byline_entries, institution_parts, fused_authors, open_locations, cross_validated, watched_bylines)}
+QUERIES = {f.__name__: f for f in (resolve_search, chosen_candidates, resolve_entries, authorities, byline_entries, institution_parts, fused_authors, open_locations, cross_validated, watched_bylines)}
 
 _TOK = "list_sort(list_distinct(list_filter(string_split({0}, ' '), lambda t: t <> '')))"
 _CONF = "list_max(list_transform(list_filter(coalesce(evidence_list, []), lambda e: e.confidence >= 0 AND e.confidence <= 1), lambda e: e.confidence))"
 _HOST = r"lower(regexp_extract({0}, '^[a-zA-Z]+://([^@/]*@)?([^/:?#]+)', 2))"
 _LEGAL = f"({_OK} AND {_HOST} NOT IN ('academia.edu', 'researchgate.net', 'www.academia.edu', 'www.researchgate.net'))"
 _FIRST = ", ".join(f"arg_min({c}, (-conf, ord)) FILTER ({c} <> '') AS {c}" for c in ("name", "orcid", "affiliation", "email", "homepage"))
+_SUR = r"nullif(string_split(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9一-鿿 ]', ' ', 'g'), ' +', ' ', 'g')), ' ')[-1], '')"
+_LONG = "list_sort(list_filter(list_distinct(string_split({0}, ' ')), lambda t: length(t) > 1))"
 ORACLES = {
+    "chosen_candidates": f"""WITH a AS (SELECT ord, name, coalesce(citations, 0) AS c, coalesce(h_index, 0) AS h, {_SUR.format('name')} AS s FROM authors), q AS (SELECT DISTINCT name AS query, s FROM a WHERE ord % 20 = 0 AND name IS NOT NULL),
+        t AS (SELECT query, ord, c, h, CASE WHEN {_LONG.format(_TITLE.format('query'))} = {_LONG.format(_TITLE.format('name'))} AND len({_LONG.format(_TITLE.format('query'))}) > 0 THEN 1 ELSE 3 END AS tier FROM q JOIN a USING (s))
+        SELECT query, ord, CAST(tier AS INT) AS tier FROM t QUALIFY row_number() OVER (PARTITION BY query ORDER BY tier, CASE WHEN tier = 1 THEN -c ELSE -h END, CASE WHEN tier = 1 THEN 0 ELSE -c END, ord) = 1""",
     "resolve_search": f"""WITH q AS (SELECT query, {_TOK.format(_TITLE.format('query'))} AS q FROM (SELECT DISTINCT name AS query FROM authors WHERE ord % 20 = 0 AND name IS NOT NULL)), a AS (SELECT ord, citations, h_index, {_TOK.format(_TITLE.format('name'))} AS t FROM authors)
         SELECT query, ord, CAST(row_number() OVER (PARTITION BY query ORDER BY q <> t, citations DESC NULLS LAST, h_index DESC NULLS LAST, ord) AS INT) AS rank FROM q JOIN a ON len(q) > 0 AND list_has_all(t, q) QUALIFY rank <= 8""",
     "resolve_entries": f"""WITH i AS (SELECT DISTINCT {_KEY.format('id')} AS k FROM authors), n AS (SELECT lower(trim(name)) AS n, min({_KEY.format('id')}) AS b FROM authors GROUP BY 1 HAVING count(DISTINCT {_KEY.format('id')}) = 1),

@@ -82,8 +82,8 @@ def paper_by_arxiv(spark: SparkSession, d: str) -> DataFrame:
 
 def valid_papers(spark: SparkSession, d: str) -> DataFrame:
     """Errors and warnings of every paper, and whether it is valid."""
-    errors = quality.paper_errors(NOW)
-    return table(spark, d, "papers").select("ord", F.array_join(errors, ",").alias("errors"), F.array_join(quality.paper_warnings(NOW), ",").alias("warnings"), (F.size(errors) == 0).alias("valid"))
+    errors, papers = quality.paper_errors(NOW), table(spark, d, "papers")
+    return papers.select("ord", F.array_join(errors, ",").alias("errors"), F.array_join(quality.paper_warnings(NOW, dict(papers.dtypes)), ",").alias("warnings"), (F.size(errors) == 0).alias("valid"))
 
 
 def valid_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -197,3 +197,5 @@ ORACLES = {
         list_filter(list_transform(authors, lambda a: trim(regexp_replace(a.name, '\s+', ' ', 'g'))), lambda n: coalesce(length(n) > 0, false)) AS ns FROM papers)
         SELECT ord, title, venue, doi, pdf_url, array_to_string(list_filter(ns, lambda n, i: list_position(list_transform(ns, lambda x: lower(x)), lower(n)) = i), '; ') AS names FROM p""",
 }
+# Records of little confidence are warned of as well: the confidence is that of completeness_scores.
+ORACLES["valid_papers"] = f"WITH v AS ({ORACLES['valid_papers']}), c AS ({ORACLES['completeness_scores']}) SELECT ord, errors, CASE WHEN c.confidence < 0.5 THEN CASE WHEN warnings = '' THEN 'confidence' ELSE warnings || ',confidence' END ELSE warnings END AS warnings, valid FROM v JOIN c USING (ord)"
