@@ -416,7 +416,7 @@ def test_entry_without_llm():
     import subprocess
     import sys
 
-    code = "import sys; sys.modules['quillspark.llm'] = None; import __spark_entry__ as e; assert e._llm is None and 'p4_found' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    code = "import sys; sys.modules['quillspark.llm'] = None; import __spark_entry__ as e; assert e._llm == ({}, {}) and 'p4_found' in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)
 
 
