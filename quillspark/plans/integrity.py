@@ -46,6 +46,15 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(cites.unionByName(bylines), ["table_name", "ref_field", "period", "reason"])
 
 
+def p4_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of papers to snapshot works by DOI and year together, of which either may be null: orphans under full and under partial match."""
+    refs = table(spark, sf_dir, "papers").select("ord", F.lower("doi").alias("doi"), "year")
+    works = table(spark, sf_dir, "snapshot_works").select(F.lower("doi").alias("work_doi"), F.col("year").alias("work_year"))
+    keys = [("doi", "work_doi"), ("year", "work_year")]
+    each = [find_orphans(refs, works, keys, match=m).select(F.lit(m).alias("match"), "ord", "reason") for m in ("full", "partial")]
+    return each[0].unionByName(each[1])
+
+
 _KEY = r"nullif(trim(upper(regexp_replace(regexp_replace(trim({0}), '^.*[/:#=]\s*([^/:#=]+)/?$', '\1'), '/$', ''))), '')"
 _SQL_REFS = f"""
 works AS (SELECT {_KEY.format('id')} AS key, min(loaded_at) AS first_load, bool_and(deleted_at IS NOT NULL) AS gone FROM snapshot_works GROUP BY 1),
@@ -65,8 +74,14 @@ byline_orphans AS (
 orphans AS (SELECT * FROM cite_orphans WHERE reason IS NOT NULL UNION ALL SELECT * FROM byline_orphans)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_composite": p4_composite}
 ORACLES = {
     "p4_found": f"WITH {_SQL_REFS} SELECT ref_field, ord, position, reason FROM orphans",
     "p4_report": f"WITH {_SQL_REFS} SELECT table_name, ref_field, period, reason, count(*) AS n_refs FROM orphans GROUP BY ALL",
+    "p4_composite": """WITH p AS (SELECT ord, lower(doi) AS d, year AS y FROM papers), w AS (SELECT DISTINCT lower(doi) AS d, year AS y FROM snapshot_works)
+        SELECT 'full' AS match, ord, 'partial_null' AS reason FROM p WHERE (d IS NULL) <> (y IS NULL)
+        UNION ALL SELECT 'full', ord, 'missing' FROM p WHERE d IS NOT NULL AND y IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.d = p.d AND w.y = p.y)
+        UNION ALL SELECT 'partial', ord, 'missing' FROM p WHERE d IS NOT NULL AND y IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.d = p.d AND w.y = p.y)
+        UNION ALL SELECT 'partial', ord, 'missing' FROM p WHERE d IS NOT NULL AND y IS NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.d = p.d)
+        UNION ALL SELECT 'partial', ord, 'missing' FROM p WHERE d IS NULL AND y IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w WHERE w.y = p.y)""",
 }
