@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quillspark.functions.text import jaccard, strict_arxiv, title_key, tokens, venues_equivalent
 from quillspark.operators.components import connected_components
 from quillspark.operators.quality import primary_evidence
-from quillspark.session import block_join, cut, lookup
+from quillspark.session import block_join, cut, lookup, stored
 
 # Kinds of venue that can't be the same publication as each other (alphabetical).
 BOOKS = ("book", "book-chapter", "book-set", "book_chapter", "book_set", "chapter", "edited-book", "edited_book", "monograph", "reference-book", "reference-entry", "reference_book", "reference_entry")
@@ -49,20 +49,37 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 def similar_titles(titles: DataFrame, share: float = GUARD) -> DataFrame:
     """Pairs ``t1, t2`` (t1 < t2) of distinct titles (columns title, words) with a Jaccard similarity of ``share`` or more.
 
-    Prefix filtering: words are ordered by rarity over all titles; two sets that similar share one of the first
-    n - ceil(share*n) + 1 words of either, so no pair is lost, and common words make no block.
+    Prefix filtering by two words: words are ordered by rarity over all titles; two sets that similar have ceil(share*n) words or
+    more in common, the first two of which lie among the first n - ceil(share*n) + 2 words of either. Titles meet by such pairs of
+    words, so no pair is lost, and common words make no block (sets of one word meet by it). Of those that meet, the words
+    left after the place of the second one and the bits of maps of the words that only one side has bound what they can have in
+    common; the words themselves are compared once for each pair that is left.
     """
-    words = titles.select("title", F.explode("words").alias("w"))
+    if not 0.5 < share <= 1:
+        raise ValueError("titles are compared from more than half of their words on")
+    words = titles.select(F.xxhash64("title").alias("t"), F.explode("words").alias("w")).select("t", F.xxhash64("w").alias("w"))
     # Words of more than one title in RANKED are ranked by a table of a few hundred thousand rows at most, which is broadcast;
     # the others count as equally rare. Any order that is the same on both sides loses no pair.
     floor = max(1, titles.count() // RANKED)
     ranks = words.groupBy("w").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > floor)
-    ordered = words.join(F.broadcast(ranks), "w", "left").groupBy("title").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(floor)).alias("df"), "w"))).alias("ws"))
+    ordered = words.join(F.broadcast(ranks), "w", "left").groupBy("t").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(floor)).alias("df"), "w"))).alias("ws"))
     n = F.size("ws")
-    heads = ordered.select("title", n.alias("n"), F.transform("ws", lambda x: x["w"]).alias("set"), F.explode(F.slice("ws", F.lit(1), (n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1).cast("int"))).alias("h")).select("title", "n", "set", F.col("h.w").alias("w"))
-    other = heads.select(F.col("title").alias("t2"), F.col("n").alias("n2"), F.col("set").alias("set2"), "w")
-    pairs = block_join(heads.withColumnRenamed("title", "t1"), other, "w", "t1").where((F.col("t1") < F.col("t2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * share - 1e-9))
-    return pairs.where(jaccard(F.col("set"), F.col("set2")) >= share).select("t1", "t2").distinct()
+    half = lambda k: F.aggregate("ws", F.lit(0).cast("long"), lambda m, x: F.when(F.pmod(x["w"], F.lit(2)) == k, m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(x["w"], 1), F.lit(64)).cast("int")))).otherwise(m))
+    first = F.transform(F.slice("ws", F.lit(1), (n - F.greatest(F.ceil(n * F.lit(share) - F.lit(1e-9)), F.lit(2)) + 2).cast("int")), lambda x: x["w"])
+    kept = stored(ordered.select("t", n.alias("n"), half(0).alias("even"), half(1).alias("odd"), first.alias("first")))
+    two = F.flatten(F.transform("first", lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y, j: F.struct(F.xxhash64(x, y).alias("k"), (i + j + 2).alias("p")))))
+    keys = F.when(F.size("first") > 1, two).otherwise(F.array(F.struct(F.element_at("first", 1).alias("k"), F.lit(1).alias("p"))))
+    heads = kept.select("t", F.col("n").cast("short").alias("n"), "even", "odd", F.explode(keys).alias("e")).select("t", "n", "even", "odd", "e.k", F.col("e.p").cast("short").alias("p"))
+    other = heads.toDF("u", "m", "even2", "odd2", "k", "q")
+    both = F.col("n") + F.col("m")
+    common = F.ceil(both * F.lit(share / (1 + share)) - F.lit(1e-9))
+    only = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    bounds = (F.least("n", "m") >= F.greatest("n", "m") * share - 1e-9) & (F.least("n", "m") >= common) & (F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) + 2 >= common)
+    bounds = bounds & (only("even", "even2") + only("odd", "odd2") <= F.col("n") - common) & (only("even2", "even") + only("odd2", "odd") <= F.col("m") - common)
+    met = block_join(heads, other, "k", "t").where((F.col("t") < F.col("u")) & bounds).select("t", "u").distinct()
+    text = titles.select(F.xxhash64("title").alias("t"), "title", "words")
+    pairs = met.join(text.toDF("t", "ta", "wa"), "t").join(text.toDF("u", "tb", "wb"), "u")
+    return pairs.where(jaccard(F.col("wa"), F.col("wb")) >= share).select(F.least("ta", "tb").alias("t1"), F.greatest("ta", "tb").alias("t2"))
 
 
 def crossing_titles(titles: DataFrame, share: float = SEQUENCE) -> DataFrame:

@@ -550,3 +550,31 @@ def test_capped_depth(spark):
     deep, flat, quoted = "[" * 5 + "]" * 5, "[[]]", '{"a": "[[[[[[[["}'
     df = spark.createDataFrame([(deep,), (flat,), (quoted,), (None,)], "t string")
     assert [r[0] for r in df.select(capped_depth(F.col("t"), 4)).collect()] == [TRUNCATED, flat, quoted, None]
+
+
+def test_similar_titles_meet_by_two_words(spark, monkeypatch):
+    import random as _random
+    from itertools import combinations
+
+    from quillspark.operators import fusion
+
+    rng = _random.Random(7)
+    sets = {" ".join(rng.sample([f"w{i}" for i in range(40)], rng.choice([7, 8, 8, 8, 9]))) for _ in range(500)} | {"a", "a a", "b a", "a b"}
+    for t in sorted(sets)[:60]:
+        w = t.split()
+        sets |= {" ".join(reversed(w)), " ".join([*w[1:], "x"]), " ".join([*w, "y", "z"])}
+    titles = sorted(sets)
+    df = spark.createDataFrame([(t, sorted(set(t.split()))) for t in titles], "title string, words array<string>")
+    met, join = [], fusion.block_join
+
+    def counted(left, right, key, by):
+        pairs = join(left, right, key, by)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(fusion, "block_join", counted)
+    near = lambda s, t, share: len(set(s.split()) & set(t.split())) / len(set(s.split()) | set(t.split())) >= share
+    for share in (0.75, 0.8):
+        got = sorted((r["t1"], r["t2"]) for r in fusion.similar_titles(df, share).collect())
+        assert got == sorted(p for p in combinations(titles, 2) if near(*p, share))
+    assert max(met) < len(titles) ** 2 / 8
