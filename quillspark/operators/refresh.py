@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.text import content_hash, jaccard, title_key, tokens
 from quillspark.operators.changes import TRACKED, changed_fields
+from quillspark.operators.components import connected_components
 from quillspark.operators.fusion import similar_titles
 from quillspark.operators.quality import primary_evidence
 from quillspark.operators.upserts import upsert
 from quillspark.session import cut, lookup
 
 TITLE_SHARE, NEAR_SHARE, ENOUGH, MARGIN = 0.80, 0.95, 0.85, 0.10
-MOST_ROUNDS = 100
 
 
 def _keys() -> dict[str, Column]:
@@ -59,19 +62,30 @@ def similar_choices(new: DataFrame, old: DataFrame) -> DataFrame:
 def assigned(choices: DataFrame) -> DataFrame:
     """``n, o``: each new record takes, in the order of ``n``, the first of its choices (by rank, then o) whose owner nobody before it took.
 
-    As every owner prefers the smallest ``n``, that is the outcome of proposals that are held until a smaller ``n`` comes; rounds
-    go on until nobody is turned down.
+    Records compete only within a connected component of records and owners. Components are spread over the tasks and each is gone through once
+    in that order, so any number of records may want the same owners; what is kept in memory are the owners taken in one component.
     """
-    open_ = cut(choices.groupBy("n", "owner").agg(F.min(F.struct("rank", "o")).alias("c")))
-    for _ in range(MOST_ROUNDS):
-        asks = open_.groupBy("n").agg(F.min(F.struct("c", "owner")).alias("a")).select("n", "a.owner", "a.c")
-        held = asks.groupBy("owner").agg(F.min("n").alias("first"))
-        told = asks.join(held, "owner")
-        refused = cut(told.where("n <> first").select("n", "owner"))
-        if refused.isEmpty():
-            return asks.select("n", F.col("c.o").alias("o"))
-        open_ = cut(open_.join(refused, ["n", "owner"], "left_anti"))
-    raise RuntimeError(f"records are still turned down after {MOST_ROUNDS} rounds")
+    kept = cut(choices.groupBy("n", "owner").agg(F.min(F.struct("rank", "o")).alias("c")))
+    node = lambda c: F.xxhash64(F.lit(c), c)  # noqa: E731 - equal hashes only make a component larger
+    found = connected_components(kept.select(node("n").alias("a"), node("owner").alias("b")))
+    rows = kept.withColumn("vertex", node("n")).join(found, "vertex").select("component", "n", "c.rank.tier", "c.rank.less", "c.o", "owner")
+    ordered = rows.repartition("component").sortWithinPartitions("component", "n", "tier", "less", "o", "owner").select("component", "n", "o", "owner")
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken, inside, placed = set(), None, None
+        for batch in batches:
+            out = []
+            for component, n, o, owner in zip(batch["component"].tolist(), batch["n"].tolist(), batch["o"].tolist(), batch["owner"].tolist(), strict=True):
+                if component != inside:
+                    taken, inside, placed = set(), component, None
+                if n != placed and owner not in taken:
+                    taken.add(owner)
+                    placed = n
+                    out.append((n, o))
+            yield pd.DataFrame(out, columns=["n", "o"]).astype({"n": "int64", "o": "int64"})
+
+    kinds = dict(rows.dtypes)
+    return ordered.mapInPandas(take, f"n {kinds['n']}, o {kinds['o']}")
 
 
 def detect(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -578,3 +578,12 @@ def test_similar_titles_meet_by_two_words(spark, monkeypatch):
         got = sorted((r["t1"], r["t2"]) for r in fusion.similar_titles(df, share).collect())
         assert got == sorted(p for p in combinations(titles, 2) if near(*p, share))
     assert max(met) < len(titles) ** 2 / 8
+
+
+def test_any_number_of_records_want_the_same_owners(spark):
+    from quillspark.operators import refresh
+
+    choices = [(2 * n + 1, 2 * o, f"row:{2 * o}", (4, -0.9)) for n in range(130) for o in range(125)] + [(1001, 0, "row:0", (0, 0.0)), (1001, 900, "row:900", (4, -0.9))]
+    df = spark.createDataFrame(choices, "n bigint, o bigint, owner string, rank struct<tier:int,less:double>")
+    got = {r["n"]: r["o"] for r in refresh.assigned(df).collect()}
+    assert got == {2 * n + 1: 2 * n for n in range(125)} | {1001: 900}
