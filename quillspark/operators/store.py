@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quillspark.functions.text import ascii_cjk_key, title_key, tokens
 from quillspark.operators.edges import authorships, coauthor_pairs
 from quillspark.operators.upserts import delete_keys, last_wins, replace_children, upsert
+from quillspark.session import BUCKETS, cut, stored
 
 #: Deepest nesting kept of raw JSON, and what stands for what lies deeper.
 MOST_DEPTH = 99
@@ -85,31 +88,57 @@ def name_tokens_index(papers: DataFrame) -> DataFrame:
     return each.select("ord", "at", F.explode(F.filter(tokens(title_key(F.col("a.name"))), lambda t: F.length(t) > 1)).alias("token"))
 
 
-def name_pieces_index(papers: DataFrame) -> DataFrame:
-    """``piece, ord, at``: runs of three characters of each byline name."""
-    each = papers.select("ord", F.posexplode("authors").alias("at", "a"))
-    return each.select("ord", "at", F.explode(pieces(F.col("a.name"))).alias("piece"))
-
-
 def text_pieces_index(papers: DataFrame) -> DataFrame:
     """``ord, piece``: runs of three characters of each title."""
     return papers.select("ord", F.explode(pieces(F.col("title"))).alias("piece"))
 
 
-def by_tokens(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, ord``: papers with a byline name that holds all tokens of the query (relational division on the index)."""
-    asked = queries.select("query", F.filter(tokens(title_key(F.col("query"))), lambda t: F.length(t) > 1).alias("q")).distinct().where(F.size("q") > 0)
-    wanted = asked.select("query", F.size("q").alias("n"), F.explode("q").alias("token"))
-    met = index.join(wanted, "token").groupBy("query", "ord", "at").agg(F.countDistinct("token").alias("m"), F.first("n").alias("n"))
-    return met.where("m = n").select("query", "ord").distinct()
+def _spelled(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``ord, name``: bylines as single names, and the stored distinct names."""
+    names = papers.select("ord", F.explode("authors.name").alias("name")).where("name IS NOT NULL")
+    return names, stored(names.select("name").distinct())
+
+
+def _met_names(spelled: DataFrame, queries: DataFrame, keys: Callable[[Column], Column], holds: Column) -> DataFrame:
+    """``query, name`` where the name has all keys of the query and ``holds`` (a test of ``name``, ``keys``, ``query`` and ``q``).
+
+    A query meets names by the rarest of its keys only. Keys whose bucket no query is looked up by don't leave their task; at most
+    ``BUCKETS`` numbers are broadcast for that.
+    """
+    each = spelled.select("name", keys(F.col("name")).alias("keys"))
+    asked = queries.select("query", keys(F.col("query")).alias("q")).distinct().where(F.size("q") > 0)
+    counts = each.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    sized = asked.select("query", F.explode("q").alias("key")).join(counts, "key", "left")
+    rarest = cut(sized.groupBy("query").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "key")).alias("r")).where("r.df > 0").select("query", "r.key"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
+    near = each.select("name", F.explode("keys").alias("key")).withColumn("bucket", bucket).join(F.broadcast(rarest.select(bucket).distinct()), "bucket", "left_semi").select("key", "name")
+    met = near.join(rarest, "key").select("query", "name", keys(F.col("name")).alias("keys"), keys(F.col("query")).alias("q"))
+    return met.where(holds).select("query", "name")
+
+
+def _name_tokens(name: Column) -> Column:
+    return F.filter(tokens(title_key(name)), lambda t: F.length(t) > 1)
+
+
+def _token_names(spelled: DataFrame, queries: DataFrame) -> DataFrame:
+    return _met_names(spelled, queries, _name_tokens, F.size(F.array_intersect("keys", "q")) == F.size("q"))
+
+
+def _substring_names(spelled: DataFrame, queries: DataFrame) -> DataFrame:
+    return _met_names(spelled, queries, pieces, F.contains(F.lower("name"), F.lower("query")))
+
+
+def by_tokens(papers: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query, ord``: papers with a byline name that holds all tokens of the query."""
+    names, spelled = _spelled(papers)
+    return _token_names(spelled, queries).join(names, "name").select("query", "ord").distinct()
 
 
-def by_substring(index: DataFrame, papers: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query, ord``: papers with a byline name that contains the query (case aside): names with all its pieces are looked at."""
-    asked = queries.select("query", pieces(F.col("query")).alias("q")).distinct().where(F.size("q") > 0)
-    met = index.join(asked.select("query", F.size("q").alias("n"), F.explode("q").alias("piece")), "piece").groupBy("query", "ord", "at").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where("m = n")
-    names = papers.select("ord", F.posexplode("authors").alias("at", "a")).select("ord", "at", F.lower("a.name").alias("name"))
-    return met.join(names, ["ord", "at"]).where(F.col("name").contains(F.lower("query"))).select("query", "ord").distinct()
+def by_name(papers: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query, ord``: papers with a byline name that holds all tokens of the query or contains it as a text (case aside)."""
+    names, spelled = _spelled(papers)
+    met = _token_names(spelled, queries).unionByName(_substring_names(spelled, queries)).distinct()
+    return met.join(names, "name").select("query", "ord").distinct()
 
 
 def capped_depth(text: Column, most: int = MOST_DEPTH) -> Column:

@@ -112,14 +112,12 @@ def token_index(spark: SparkSession, d: str) -> DataFrame:
 
 def papers_by_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Papers with a byline name that holds all tokens of the name of an author whose ord is divisible by 20."""
-    return store.by_tokens(store.name_tokens_index(table(spark, d, "papers")), _asked(spark, d))
+    return store.by_tokens(table(spark, d, "papers"), _asked(spark, d))
 
 
 def papers_by_name(spark: SparkSession, d: str) -> DataFrame:
     """Papers for the same names by tokens or as a part of a byline name."""
-    papers = table(spark, d, "papers").select("ord", "authors")
-    parts = store.by_substring(store.name_pieces_index(papers), papers, _asked(spark, d))
-    return papers_by_tokens(spark, d).unionByName(parts).distinct()
+    return store.by_name(table(spark, d, "papers"), _asked(spark, d))
 
 
 def title_pieces(spark: SparkSession, d: str) -> DataFrame:

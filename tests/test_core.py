@@ -587,3 +587,15 @@ def test_any_number_of_records_want_the_same_owners(spark):
     df = spark.createDataFrame(choices, "n bigint, o bigint, owner string, rank struct<tier:int,less:double>")
     got = {r["n"]: r["o"] for r in refresh.assigned(df).collect()}
     assert got == {2 * n + 1: 2 * n for n in range(125)} | {1001: 900}
+
+
+def test_names_meet_queries_by_their_rarest_key(spark):
+    from quillspark.operators import store
+
+    names = [["Ana Maria Li"], ["Li", None], ["Maria Ana", "Ana"], None, [], ["xAna Marias"], ["É. Çelik", "Ana Li"]]
+    kind = "ord bigint, authors array<struct<name:string>>"
+    papers = spark.createDataFrame([(i, None if n is None else [(x,) for x in n]) for i, n in enumerate(names)], kind)
+    asked = spark.createDataFrame([("ana maria",), ("li",), ("é. çelik",), ("nobody ana",), ("",), ("a",)], "query string")
+    tokens = {("ana maria", 0), ("ana maria", 2), ("li", 0), ("li", 1), ("li", 6), ("é. çelik", 6)}
+    assert set(map(tuple, store.by_tokens(papers, asked).collect())) == tokens
+    assert sorted(map(tuple, store.by_name(papers, asked).collect())) == sorted(tokens | {("ana maria", 5)})
