@@ -24,7 +24,7 @@ def author_clusters(authors: DataFrame) -> DataFrame:
     keyed = cut(authors.select("ord", author_key().alias("k")))
     firsts = keyed.groupBy("k").agg(F.min("ord").alias("first"))
     member = cut(lookup(keyed, firsts, "k", "inner").select("ord", "first"))
-    scores = cut(author_scores(author_pairs(authors)))
+    scores = cut(author_scores(author_pairs(authors), AMBIGUOUS))
     found = connected_components(scores.where(F.col("total") >= SAME).select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")))
     placed = member.join(found.withColumnRenamed("vertex", "first"), "first", "left").withColumn("cluster", F.coalesce("component", "first")).select("ord", "first", "cluster")
     of = placed.where("ord = first").select("first", "cluster")

@@ -147,12 +147,22 @@ def author_members(authors: DataFrame) -> DataFrame:
     return lookup(keyed, keyed.groupBy("k").agg(F.min("ord").alias("representative")), "k", "inner").select("ord", "representative")
 
 
-def author_scores(pairs: DataFrame) -> DataFrame:
-    """``a_ord, b_ord, total, verdict``: weighted score of all features; ids decide before it (conflict 0, link 1)."""
+def author_scores(pairs: DataFrame, least: float | None = None) -> DataFrame:
+    """``a_ord, b_ord, total, verdict``: weighted score of all features; ids decide before it (conflict 0, link 1).
+
+    With ``least``, pairs that score less may be missing: those that equal names couldn't bring there aren't compared by name.
+    """
     linked, conflict = ids_linked()
-    rows = author_features(pairs).withColumn("name", name_similarity(F.col("a.name"), F.col("b.name")))
+    rows = author_features(pairs)
+    weights = dict(zip(("name", "affiliation", "topic", "coauthor", "years", "venue"), WEIGHTS, strict=True))
+    if least is not None:
+        most = F.lit(weights["name"] + 0.05)
+        for f in ("affiliation", "topic", "coauthor", "years", "venue"):
+            most = most + F.lit(weights[f]) * F.col(f)
+        rows = rows.where(~conflict & (linked | (most >= least - 1e-6)))
+    rows = rows.withColumn("name", name_similarity(F.col("a.name"), F.col("b.name")))
     total = None
-    for f, w in zip(("name", "affiliation", "topic", "coauthor", "years", "venue"), WEIGHTS, strict=True):
+    for f, w in weights.items():
         total = F.lit(w) * F.col(f) if total is None else total + F.lit(w) * F.col(f)
     bonus = (F.col("name") == 1.0) & (F.col("affiliation") >= 0.9) & (F.col("topic") >= 0.5)
     total = F.when(bonus, F.least(F.lit(1.0), total + 0.05)).otherwise(total)

@@ -599,3 +599,13 @@ def test_names_meet_queries_by_their_rarest_key(spark):
     tokens = {("ana maria", 0), ("ana maria", 2), ("li", 0), ("li", 1), ("li", 6), ("é. çelik", 6)}
     assert set(map(tuple, store.by_tokens(papers, asked).collect())) == tokens
     assert sorted(map(tuple, store.by_name(papers, asked).collect())) == sorted(tokens | {("ana maria", 5)})
+
+
+def test_pairs_that_names_cannot_save_are_not_compared_by_name(spark, monkeypatch):
+    kind = "ord bigint, name string, affiliation string, interests array<string>, coauthors array<string>, active_years array<int>, venues array<string>, orcid string, semantic_scholar_id string, openalex_id string"
+    full, far = ["U One", ["ai"], ["x"], [2000], ["v"]], ["V Two", ["law"], ["y"], [1990], ["w"]]
+    authors = [(1, "Ana Li", *full, "o1", None, None), (2, "Ana Li", *full, None, None, None), (3, "Ana Li", *far, None, None, None), (4, "A Li", *far, "o1", None, None), (5, "Ana Li", *full, "o2", None, None)]
+    pairs = changes.author_pairs(spark.createDataFrame(authors, kind)).localCheckpoint()
+    whole = {tuple(r) for r in changes.author_scores(pairs).collect()}
+    some = {tuple(r) for r in changes.author_scores(pairs, changes.AMBIGUOUS).collect()}
+    assert some <= whole and {r for r in whole if r[2] >= changes.AMBIGUOUS} <= some and len(some) < len(whole)
