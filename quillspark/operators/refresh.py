@@ -12,7 +12,7 @@ from quillspark.operators.changes import TRACKED, changed_fields
 from quillspark.operators.components import connected_components
 from quillspark.operators.fusion import similar_titles
 from quillspark.operators.quality import primary_evidence
-from quillspark.operators.upserts import upsert
+from quillspark.operators.upserts import last_wins, upsert
 from quillspark.session import cut, lookup
 
 TITLE_SHARE, NEAR_SHARE, ENOUGH, MARGIN = 0.80, 0.95, 0.85, 0.10
@@ -33,10 +33,12 @@ def _owner() -> Column:
 
 def keyed_choices(new: DataFrame, old: DataFrame) -> DataFrame:
     """``n, o, owner, rank``: for each new record the stored one with its id, DOI, link and content hash (the last of several), in this order."""
+    keys = [key.alias(f"_{name}") for name, key in _keys().items()]
+    asked, known = cut(new.select("ord", *keys)), cut(old.select("ord", _owner().alias("owner"), *keys))
     out = None
-    for i, (name, key) in enumerate(_keys().items()):
-        side = old.select(key.alias("_k"), F.struct("ord", _owner().alias("owner")).alias("_o")).where("_k IS NOT NULL").groupBy("_k").agg(F.max_by("_o", F.col("_o.ord")).alias("_o"))
-        met = lookup(new.select("ord", key.alias("_k")), side, "_k", "inner").select(F.col("ord").alias("n"), F.col("_o.ord").alias("o"), F.col("_o.owner").alias("owner"), F.struct(F.lit(i).alias("tier"), F.lit(0.0).alias("less")).alias("rank"))
+    for i, name in enumerate(_keys()):
+        side = known.select(F.col(f"_{name}").alias("_k"), F.struct("ord", "owner").alias("_o")).where("_k IS NOT NULL").groupBy("_k").agg(F.max_by("_o", F.col("_o.ord")).alias("_o"))
+        met = lookup(asked.select("ord", F.col(f"_{name}").alias("_k")), side, "_k", "inner").select(F.col("ord").alias("n"), F.col("_o.ord").alias("o"), F.col("_o.owner").alias("owner"), F.struct(F.lit(i).alias("tier"), F.lit(0.0).alias("less")).alias("rank"))
         out = met if out is None else out.unionByName(met)
     return out
 
@@ -46,7 +48,7 @@ def similar_choices(new: DataFrame, old: DataFrame) -> DataFrame:
     names of .85 or more, best first. Titles are compared once however many records have them."""
     names = F.array_distinct(F.transform(F.coalesce("authors", F.array()), lambda a: title_key(a["name"])))
     side = lambda d: d.select("ord", title_key(F.col("title")).alias("title"), tokens(title_key(F.col("title"))).alias("words"), names.alias("names"), "year", _owner().alias("owner"))
-    a, b = side(new), side(old)
+    a, b = cut(side(new)), cut(side(old))
     titles = cut(a.select("title", "words").unionByName(b.select("title", "words")).where(F.size("words") > 0).groupBy("title").agg(F.first("words").alias("words")))
     near = similar_titles(titles, TITLE_SHARE)
     pairs = near.unionByName(near.select(F.col("t2").alias("t1"), F.col("t1").alias("t2"))).unionByName(titles.select(F.col("title").alias("t1"), F.col("title").alias("t2")))
@@ -91,17 +93,9 @@ def assigned(choices: DataFrame) -> DataFrame:
 def detect(new: DataFrame, old: DataFrame) -> DataFrame:
     """``ord, change, old_ord, changed``: new, updated or unchanged, matched by id, DOI, link, content hash, then fuzzy title; a
     stored record answers one new one, the earliest. Rows need ord, id, doi, url, title, authors, year, venue and the tracked fields."""
-    choices = cut(keyed_choices(new, old))
-    # Only records without a match of their own, or whose match an earlier one took, look for similar titles; those matches in turn may
-    # displace others, until all that are left without a match have looked.
-    looked = new.select(F.col("ord").alias("n")).limit(0)
-    while True:
-        found = cut(assigned(choices))
-        lost = cut(new.select(F.col("ord").alias("n")).join(found.select("n"), "n", "left_anti").join(looked, "n", "left_anti"))
-        if lost.isEmpty():
-            break
-        more = similar_choices(new.join(lost.withColumnRenamed("n", "ord"), "ord", "left_semi"), old)
-        choices, looked = cut(choices.unionByName(more)), cut(looked.unionByName(lost))
+    # All choices are found beforehand: a record takes a similar title only if its keys are all taken, which shows when records are gone through
+    # in order, and one record that does may displace any number of others.
+    found = assigned(keyed_choices(new, old).unionByName(similar_choices(new, old)))
     kinds = dict(old.dtypes)
     whole = lambda d, name: d.select(F.col("ord").alias(f"{name}_ord"), F.struct(*TRACKED).alias(name))
     rows = whole(new, "n").join(found.toDF("n_ord", "o_ord"), "n_ord", "left").join(whole(old, "o"), "o_ord", "left")
@@ -127,11 +121,12 @@ def merged(pairs: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def applied(changes: DataFrame, new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The stored table (id and the merged fields) after the changes, and ``change, n``: new records are inserted, updated ones merged."""
+    """The stored table (id and the merged fields) after the changes, and ``change, n``: new records are inserted, updated ones merged;
+    of several with an id the last one stays."""
     columns = ["id", "title", "year", "venue", "abstract", "doi", "url", "pdf_url", "citations", "keywords"]
     changes = cut(changes)
-    update = merged(changes.where("change = 'updated'"), new, old).where("id IS NOT NULL").dropDuplicates(["id"])
-    insert = new.join(changes.where("change = 'new'").select("ord"), "ord", "left_semi").where("id IS NOT NULL").select(*columns).dropDuplicates(["id"])
+    update = last_wins(merged(changes.where("change = 'updated'"), new, old).select("ord", *columns), ["id"], "ord")
+    insert = last_wins(new.join(changes.where("change = 'new'").select("ord"), "ord", "left_semi").select("ord", *columns), ["id"], "ord")
     stored = upsert(old.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*columns[1:]), "ord").alias("r")).select("id", "r.*"), insert, ["id"])
     return upsert(stored, update.select(*columns), ["id"]), changes.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 

@@ -609,3 +609,32 @@ def test_pairs_that_names_cannot_save_are_not_compared_by_name(spark, monkeypatc
     whole = {tuple(r) for r in changes.author_scores(pairs).collect()}
     some = {tuple(r) for r in changes.author_scores(pairs, changes.AMBIGUOUS).collect()}
     assert some <= whole and {r for r in whole if r[2] >= changes.AMBIGUOUS} <= some and len(some) < len(whole)
+
+
+def test_a_chain_of_displaced_records_costs_no_rounds(spark):
+    from quillspark.operators import refresh
+
+    # Each new record has the id of a stored one and the title of the next; the first has no id, so each takes the next one's place.
+    kind = "ord bigint, id string, doi string, url string, title string, year int, venue string, abstract string, pdf_url string, citations bigint, authors array<struct<name:string>>"
+    row = lambda k, i, t, year: (k, i, None, None, " ".join(f"{w}{t}" for w in ("river", "lake", "deep", "cold", "stone")), year, None, None, None, None, [(f"N {t}",)])
+    links = 6
+    old = spark.createDataFrame([row(2 * k, f"W{k}", k, 2000) for k in range(links)], kind)
+    new = spark.createDataFrame([row(2 * k + 1, f"W{k - 1}" if k else None, k, 2001) for k in range(links + 1)], kind)
+    spark.sparkContext.setJobGroup("chain", "chain")
+    try:
+        got = {r["ord"]: r["old_ord"] for r in refresh.detect(new, old).collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == {2 * k + 1: 2 * k if k < links else None for k in range(links + 1)}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain")) < 200
+
+
+def test_the_last_of_several_new_records_with_an_id_stays(spark):
+    from quillspark.operators import refresh
+
+    kind = "ord bigint, id string, title string, year int, venue string, abstract string, doi string, url string, pdf_url string, citations bigint, keywords array<string>, evidence_list array<struct<source:string,confidence:double,collected_at:timestamp,raw_data:string>>"
+    row = lambda k, i: (k, i, f"Title {k}", 2000, None, None, None, None, None, None, [], [])
+    new = spark.createDataFrame([row(k, f"W{k % 20}") for k in range(200, 0, -1)], kind).repartition(7, "title")
+    changes_ = new.select("ord", F.lit("new").alias("change"), F.lit(None).cast("bigint").alias("old_ord"), F.lit(None).cast("string").alias("changed"))
+    stored, _ = refresh.applied(changes_, new, new.limit(0))
+    assert {r["id"]: r["title"] for r in stored.collect()} == {f"W{k % 20}": f"Title {k}" for k in range(181, 201)}
