@@ -475,3 +475,13 @@ def test_pieces_of_long_texts_stay_out_of_blocks(spark):
     got = packing.pack(items, caps, "doc", "n").collect()
     assert sorted((r["doc"], r["piece"], r["token_start"], r["n_tokens"]) for r in got) == [(1, 0, 0, 10), (1, 1, 10, 10), (1, 2, 20, 5), (2, 0, 0, 10), (3, 0, 0, 0), (4, 0, 0, 0), (5, 0, 0, 7)]
     assert all(sum(x["n_tokens"] for x in got if x["bin_id"] == b) <= 10 for b in {r["bin_id"] for r in got})
+
+
+def test_tokens_are_compared_up_to_the_errors_that_count(monkeypatch):
+    from quillspark.llm import spelling
+
+    asked, whole_distance = set(), spelling.edit_distance
+    monkeypatch.setattr(spelling, "edit_distance", lambda a, b, most=3: asked.add((max(len(a), len(b)) < 9, most)) or whole_distance(a, b, most))
+    pairs = {("smith", "smiht"): 0.8, ("smith", "smit"): 0.8, ("smith", "smyht"): 0.0, ("lindstrom", "lindtsrim"): 1 - 2 / 9, ("lindstrom", "lndtsrim"): 0.0, ("anna", "otto"): 0.0}
+    assert {k: spelling.token_similarity(*k) for k in pairs} == pytest.approx(pairs)
+    assert asked == {(True, 1), (False, 2)}
