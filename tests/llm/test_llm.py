@@ -485,3 +485,10 @@ def test_tokens_are_compared_up_to_the_errors_that_count(monkeypatch):
     pairs = {("smith", "smiht"): 0.8, ("smith", "smit"): 0.8, ("smith", "smyht"): 0.0, ("lindstrom", "lindtsrim"): 1 - 2 / 9, ("lindstrom", "lndtsrim"): 0.0, ("anna", "otto"): 0.0}
     assert {k: spelling.token_similarity(*k) for k in pairs} == pytest.approx(pairs)
     assert asked == {(True, 1), (False, 2)}
+
+
+def test_words_of_titles_are_compared_up_to_the_errors_that_count(monkeypatch):
+    asked, whole_distance = set(), linkage.edit_distance
+    monkeypatch.setattr(linkage, "edit_distance", lambda a, b, most=3: asked.add((b, most)) or whole_distance(a, b, most))
+    assert linkage._title_level("cold rivers of limestone".split(), "cold rivres of limesotnee".split(), False) == 3
+    assert asked == {("rivers", 1), ("limestone", 2)}
